@@ -37,7 +37,7 @@ def parts_for(df: DataFrame, part_bytes: int) -> int:
     """Number of groups to deal df's derived rows into: at least the shuffle partitions, more when the
     optimizer's size estimate of the scan says that a group would pass part_bytes."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(size, 1 << 50) // part_bytes if size < 1 << 60 else least)
 
 
@@ -101,3 +101,22 @@ def shingle_sequence(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         total += words[j : n - k + 1 + j] * MIX[j]
     return mix(total)
+
+
+def deal(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """Split aligned columns by key modulo parts: (part, the column values of that part as bytes)."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+    columns, start = [c[order] for c in columns], 0
+    for end in ends.tolist():
+        yield int(part[order[start]]), [c[start:end].tobytes() for c in columns]
+        start = end
+
+
+def joined(values: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all non-null binary values, concatenated, and the row of each."""
+    raw = [(i, np.frombuffer(v, dtype)) for i, v in enumerate(values.to_pylist()) if v is not None]
+    if not raw:
+        return np.zeros(0, dtype), np.zeros(0, np.int64)
+    return np.concatenate([v for _, v in raw]), np.repeat([i for i, _ in raw], [len(v) for _, v in raw])

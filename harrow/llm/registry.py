@@ -6,10 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, linear, media, packing, vectors
+from harrow.llm import bpe, linear, media, packing, setjoin, vectors
 from harrow.llm.common import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return setjoin.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = s.doc_id), doc_id)) AS component_id FROM s
+"""
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio and read back."""
     found = media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
@@ -58,8 +81,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_media, op4_quality, op5_packing, op8_top_k, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_media, op4_quality, op5_packing, op8_top_k, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_top_k": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op8_top_k": OP8_SQL}
