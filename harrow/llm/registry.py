@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, linear, media, packing, setjoin, vectors
+from harrow.llm import bpe, linear, media, packing, passages, setjoin, vectors
 from harrow.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document of smaller id has too."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings")
@@ -81,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_media, op4_quality, op5_packing, op8_top_k, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_media, op4_quality, op5_packing, op7_passages, op8_top_k, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
