@@ -86,12 +86,12 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode those pre-tokens that aren't known yet."""
-        new = [w for w in set(words) if w not in self.known]
+        asked = set(words)
+        new = asked - self.known.keys()
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set(words))
+            self.known, new = {}, asked
         mapped = [w.encode().decode("latin-1").translate(self.shown) for w in new]
-        for word, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1) if mapped else []):
+        for word, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1) if mapped else [], strict=True):
             self.known[word] = self.rank_of[ids].tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
