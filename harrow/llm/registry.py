@@ -6,10 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, linear, media, packing, passages, setjoin, vectors
+from harrow.llm import bpe, chat, linear, media, packing, passages, pii, setjoin, vectors
 from harrow.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt and two masked completions for every conversation and its partner's answer."""
+    return chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")))
+
+
+OP1_SQL = """
+WITH t AS (
+  SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), l AS (
+  SELECT *, list_max(list_filter(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i END), lambda i: i IS NOT NULL)) AS at FROM t
+), p AS (
+  SELECT a.conv_id, a.turns[1:a.at] AS chosen, list_concat(a.turns[1:a.at - 1], [b.turns[b.at]]) AS rejected
+  FROM l a JOIN l b ON a.conv_id // 2 = b.conv_id // 2 AND a.conv_id <> b.conv_id WHERE a.at IS NOT NULL AND b.at IS NOT NULL
+), n AS (
+  SELECT *, CASE WHEN chosen[len(chosen)].text = rejected[len(rejected)].text THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM p
+), c AS (
+  SELECT conv_id, n, chosen[1:n] AS prompt, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM n
+)
+SELECT conv_id, CAST(n AS INTEGER) AS n_shared,
+  coalesce(list_aggregate(list_transform(prompt, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS prompt,
+  coalesce(list_aggregate(list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS chosen_text,
+  CASE WHEN len(c) = 0 THEN '' ELSE '22:' || (32 + length(c[1].text)) END AS chosen_mask,
+  coalesce(list_aggregate(list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS rejected_text,
+  CASE WHEN len(r) = 0 THEN '' ELSE '22:' || (32 + length(r[1].text)) END AS rejected_mask
+FROM c
+"""
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return setjoin.jaccard_classes(table(spark, sf_dir, "documents"))
@@ -49,6 +78,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of smaller id has too."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
@@ -86,8 +120,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_media, op4_quality, op5_packing, op7_passages, op8_top_k, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_ngram_join, op3_media, op4_quality, op5_packing, op6_personal_data, op7_passages, op8_top_k, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_join": OP2_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_ngram_join": OP2_SQL, "op8_top_k": OP8_SQL}
