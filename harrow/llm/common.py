@@ -25,11 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, as in tests, one of our own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="harrow-checkpoint-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint in the folder all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harrow-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -164,6 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) ->
     return fit([(as_ids(r["x"]), as_ids(r["y"]), r["label"]) for r in rows[: 2 * settings.max_rows]], settings)
 
 
+def _probabilities(texts: pa.Array, w: np.ndarray, settings: Settings) -> np.ndarray:
+    features, offsets = featurise([tokens_of(t) for t in texts.to_pylist()], settings)
+    logit = np.array([w[features[a:b]].sum(dtype=np.float64) for a, b in zip(offsets[:-1], offsets[1:])]) + float(w[-1])
+    return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
+
+
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -179,10 +185,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float, settings: Sett
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches, budget=2 << 20):
-            features, offsets = featurise([tokens_of(t) for t in batch.column(1).to_pylist()], settings)
-            total = np.concatenate([[0.0], np.cumsum(w[features].astype(np.float64))])
-            logit = total[offsets[1:]] - total[offsets[:-1]] + float(w[-1])
-            probability = 1 / (1 + np.exp(-np.clip(np.round(logit, 9), -35, 35)))
+            probability = _probabilities(batch.column(1), w, settings)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(probability), pa.array((probability >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -191,6 +194,18 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float, settings: Sett
     return marked.mapInArrow(run, SCORE_SCHEMA)
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float, settings: Settings) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least the threshold. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, budget=2 << 20):
+            yield batch.filter(pa.array(_probabilities(batch.column(at), shared.value, settings) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 QUALITY = Settings()
 TOXICITY = replace(Settings(), ngrams=1, stems=(3, 4, 5, 6, 7, 8), l1=3.0, counterfactual=0.5)
 
