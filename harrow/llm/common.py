@@ -51,14 +51,14 @@ def parts_for(df: DataFrame, part_bytes: int) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice has at most budget bytes of column, or one row."""
+    """Cut Arrow batches so that each slice has at most budget bytes of column, or one row, and at most 65,535 rows."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(ends):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + budget, side="right"))), start + 65_535)
             yield batch.slice(start, stop - start)
             start = stop
 

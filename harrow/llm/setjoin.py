@@ -2,8 +2,9 @@
 
 1. Sets are hashed n-grams in one global order (by hash). Of each set's beginning, the n-grams are dealt by hash and
    those found in one document only are counted out. A document with too few others cannot have a partner and is done.
-2. The rest are merged by equal sets. One of each class shows its prefix (the n-grams of which a partner must share
-   one); classes that share a prefix n-gram and can agree in size fall into one block.
+2. The rest are merged by equal sets. Sets of like size are cut by hash into more slices than two partners can differ
+   in, so partners have equal slices, of which one has three n-grams or more unless most are smaller. Classes that share
+   such a slice and can agree in size fall into one block.
 3. A block's sets, most frequent n-grams first, are stored in a radix trie. Each set walks the trie, which shares the
    overlap counted so far among sets with equal beginnings, and leaves a subtree when what remains can't reach the
    threshold. Subtrees whose sets are all linked with it already are skipped, so a large group of near copies costs
@@ -21,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import deal, joined, parts_for, settle, shingle_sequence, slices, words_of
+from harrow.llm.common import MIX, deal, joined, mix, parts_for, settle, shingle_sequence, slices, words_of
 from harrow.llm.components import UnionFind, components
 
 #: Scanned bytes of a part, n-grams of a tile, and the share of a set that step 1 looks at.
-PART_BYTES, TILE_NGRAMS, LOOK = 4 << 20, 2_000_000, (2, 5)
+PART_BYTES, TILE_NGRAMS, LOOK = 4 << 20, 2_000_000, (3, 10)
+#: N-grams from which a slice is telling.
+TELLING = 3
 
 
 def ngram_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -145,7 +148,7 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
             sets = ngram_sets(batch.column(1), k)
             looked = [s[: max(len(s) - -(-num * len(s) // den) + 1, -(-LOOK[0] * len(s) // LOOK[1]))] for s in sets]
             tokens = np.concatenate(looked)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in looked]).astype("<u4")
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in looked]).astype("<u2")
             uniq, first, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
             again = counts > 1  # met twice here already: sent once, whatever the number
             found = np.bincount(owner[again[inverse]], minlength=len(sets)).astype(int) if len(tokens) else np.zeros(len(sets), int)
@@ -160,7 +163,7 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         once, row = joined(t.column("once"), "<u8")
-        owner, _ = joined(t.column("owner"), "<u4")
+        owner, _ = joined(t.column("owner"), "<u2")
         many, _ = joined(t.column("many"), "<u8")
         uniq, inverse, counts = np.unique(np.concatenate([once, np.unique(many), np.unique(many)]), return_inverse=True, return_counts=True)
         hit = (counts > 1)[inverse[: len(once)]]
@@ -177,7 +180,7 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
 
     def gather(t: pa.Table) -> pa.Table:
         head = t.filter(pa.compute.is_valid(t.column("ids"))).to_pylist()[0]
-        owner, _ = joined(t.column("owner"), "<u4")
+        owner, _ = joined(t.column("owner"), "<u2")
         found = np.array(head["found"], np.int64) + np.bincount(owner, minlength=len(head["n"]))
         return pa.table([pa.array(head["ids"], pa.int64()), pa.array(head["n"], pa.int32()), pa.array(head["sig"], pa.int64()), pa.array(found, pa.int32())], names=["doc_id", "n", "sig", "found"])
 
@@ -186,8 +189,36 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
     return counted.groupBy("batch").applyInArrow(gather, "doc_id long, n int, sig long, found int")
 
 
+def size_bounds(num: int, den: int, top: int) -> list[int]:
+    """Lower bounds of size classes, up to past top: partners are of one class or of neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] <= top or len(bounds) < 3:
+        bounds.append(max(bounds[-1] + 1, -(-den * bounds[-1] // num)))
+    return bounds
+
+
+def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den: int) -> np.ndarray:
+    """Keys of a set's slices among the sets of size class ``level`` and the next: two partners there share a key.
+
+    Partners differ in ``most`` n-grams at most and so have at least spare = slices - most equal slices. If fewer than
+    spare slices of one of them are small, an equal one is telling; only where that may not be, all are shown."""
+    most = (bounds[level + 1] + bounds[level + 2] - 2) * (den - num) // (den + num)
+    spare = max(1, most // 2)
+    slices_ = most + spare
+    mixed = mix(tokens)
+    at = (mixed % np.uint64(slices_)).astype(np.int64)
+    sizes = np.bincount(at, minlength=slices_)
+    sums = np.zeros(slices_, np.uint64)
+    np.add.at(sums, at, mix(mixed + MIX[3]))
+    shown = sizes >= TELLING
+    if slices_ - int(shown.sum()) >= spare:
+        shown[:] = True
+    q = np.flatnonzero(shown).astype(np.uint64)
+    return mix(sums[shown] * MIX[0] + q * MIX[1] + mix(np.array([level], np.uint64)))
+
+
 def _blocks(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Edges among sets (sig, n, tokens) that share a prefix n-gram and can agree in size, thinned to a forest in each part."""
+    """Edges among sets (sig, n, tokens) that share a slice and can agree in size, thinned to a forest in each part."""
 
     def chains(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order by (key, lo), and where a chain of size ranges begins that can agree one with the next."""
@@ -211,8 +242,11 @@ def _blocks(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "tokens"):
             reps, sizes, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
-            heads = [s[: len(s) - -(-num * len(s) // den) + 1] for s in sets]
-            key, owner = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+            bounds = size_bounds(num, den, max(len(s) for s in sets))
+            bounds += size_bounds(num, den, den * bounds[-1] // num + 1)[len(bounds) :]
+            levels = np.searchsorted(bounds, [len(s) for s in sets], "right") - 1
+            keys = [np.concatenate([slice_keys(s, at, bounds, num, den) for at in (level, level - 1) if at >= 0]) for s, level in zip(sets, levels.tolist())]
+            key, owner = np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys])
             size, rep = sizes[owner].astype(np.int64), reps[owner]
             order, begins = chains(key, size, size, rep)
             rows = [(None, u, v, None, None, None, None) for u, v in forest(order, begins, rep)]

@@ -102,3 +102,22 @@ def test_components(spark):
             up[high] = low
     assert got == {x: find(x) for x in up}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5)])
+def test_partners_share_a_slice(num, den):
+    rng = np.random.default_rng(3)
+    bounds = setjoin.size_bounds(num, den, 5000)
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 5, 8, 13, 20, 40, 100, 300, 1000]) * rng.uniform(1, 1.7)) or 1
+        x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        drop, more = rng.integers(0, max(1, n // 5) + 1), rng.integers(0, max(1, n // 5) + 1)
+        y = np.unique(np.append(rng.permutation(x)[drop:], rng.integers(0, 1 << 60, more).astype(np.uint64)))
+        both = len(np.intersect1d(x, y))
+        if both * den < num * (len(x) + len(y) - both) or not both:
+            continue
+        keys = []
+        for s in (x, y):
+            level = int(np.searchsorted(bounds, len(s), "right")) - 1
+            keys.append({k for at in (level, level - 1) if at >= 0 for k in setjoin.slice_keys(s, at, bounds, num, den).tolist()})
+        assert keys[0] & keys[1]
