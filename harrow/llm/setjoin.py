@@ -3,8 +3,9 @@
 1. Sets are hashed n-grams in one global order (by hash). Of each set's beginning, the n-grams are dealt by hash and
    those found in one document only are counted out. A document with too few others cannot have a partner and is done.
 2. The rest are merged by equal sets. Sets of like size are cut by hash into more slices than two partners can differ
-   in, so partners have equal slices, of which one has three n-grams or more unless most are smaller. Classes that share
-   such a slice and can agree in size fall into one block.
+   in, so partners have a number of equal slices. Slices of few n-grams, and those that very many sets share, are left
+   out wherever fewer of a set's slices are such than must be equal. Sets that share a slice, can agree in size and
+   whose parity bitmaps don't differ in too many bits fall into one block.
 3. A block's sets, most frequent n-grams first, are stored in a radix trie. Each set walks the trie, which shares the
    overlap counted so far among sets with equal beginnings, and leaves a subtree when what remains can't reach the
    threshold. Subtrees whose sets are all linked with it already are skipped, so a large group of near copies costs
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from harrow.llm.common import MIX, deal, joined, mix, parts_for, settle, shingle_sequence, slices, words_of
 from harrow.llm.components import UnionFind, components
 
-#: Scanned bytes of a part, n-grams of a tile, and the share of a set that step 1 looks at.
-PART_BYTES, TILE_NGRAMS, LOOK = 4 << 20, 2_000_000, (3, 10)
-#: N-grams from which a slice is telling.
-TELLING = 3
+#: Scanned bytes of a part and n-grams of a tile.
+PART_BYTES, TILE_NGRAMS = 4 << 20, 2_000_000
+#: N-grams from which a slice is telling; sets from which a shared slice is common.
+TELLING, COMMON = 3, 32
 
 
 def ngram_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -37,6 +38,12 @@ def ngram_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return [np.unique(shingle_sequence(words[offsets[i] : offsets[i + 1]], k)) for i in range(len(offsets) - 1)]
 
 
+def looked_at(n: int, num: int, den: int) -> int:
+    """How many n-grams of a set of n step 1 looks at: twice what a partner may lack, and one."""
+    lack = n + -num * n // den
+    return min(n, 2 * lack + 1)
+
+
 def signature(tokens: np.ndarray) -> int:
     """A signed 64-bit name of a set; 0 for the empty one."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else 0
@@ -146,7 +153,7 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
         at = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
         for batch in slices(batches):
             sets = ngram_sets(batch.column(1), k)
-            looked = [s[: max(len(s) - -(-num * len(s) // den) + 1, -(-LOOK[0] * len(s) // LOOK[1]))] for s in sets]
+            looked = [s[: looked_at(len(s), num, den)] for s in sets]
             tokens = np.concatenate(looked)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in looked]).astype("<u2")
             uniq, first, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
@@ -197,11 +204,12 @@ def size_bounds(num: int, den: int, top: int) -> list[int]:
     return bounds
 
 
-def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den: int) -> np.ndarray:
-    """Keys of a set's slices among the sets of size class ``level`` and the next: two partners there share a key.
+def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den: int) -> tuple[np.ndarray, int]:
+    """Keys of a set's slices among the sets of size class ``level`` and the next, and how many of them may be common.
 
-    Partners differ in ``most`` n-grams at most and so have at least spare = slices - most equal slices. If fewer than
-    spare slices of one of them are small, an equal one is telling; only where that may not be, all are shown."""
+    Partners there differ in ``most`` n-grams at most, so they have spare = slices - most equal slices or more. If
+    fewer than spare of a set's slices are small or common, an equal one is neither. Small ones are left out where that
+    may be, else all are shown; the second result is the number of common ones below which a set is safe."""
     most = (bounds[level + 1] + bounds[level + 2] - 2) * (den - num) // (den + num)
     spare = max(1, most // 2)
     slices_ = most + spare
@@ -210,65 +218,164 @@ def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den:
     sizes = np.bincount(at, minlength=slices_)
     sums = np.zeros(slices_, np.uint64)
     np.add.at(sums, at, mix(mixed + MIX[3]))
-    shown = sizes >= TELLING
-    if slices_ - int(shown.sum()) >= spare:
-        shown[:] = True
+    for least in range(TELLING, 0, -1):
+        shown = sizes >= least
+        margin = spare - slices_ + int(shown.sum())
+        if margin > spare // 3:
+            break
+    else:
+        shown, margin = np.ones(slices_, bool), spare
     q = np.flatnonzero(shown).astype(np.uint64)
-    return mix(sums[shown] * MIX[0] + q * MIX[1] + mix(np.array([level], np.uint64)))
+    return mix(sums[shown] * MIX[0] + q * MIX[1] + mix(np.array([level], np.uint64))), margin
 
 
-def _blocks(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Edges among sets (sig, n, tokens) that share a slice and can agree in size, thinned to a forest in each part."""
-
-    def chains(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order by (key, lo), and where a chain of size ranges begins that can agree one with the next."""
-        order = np.lexsort((rep, lo, key))
-        key, lo, hi = key[order], lo[order], hi[order]
-        same = np.zeros(len(key), bool)
-        if len(key):
-            run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-            reach = np.maximum.accumulate(hi + run * (1 << 40)) - run * (1 << 40)  # the largest size so far in the run
-            same[1:] = (key[1:] == key[:-1]) & (num * lo[1:] <= den * reach[:-1])
-        return order, ~same
-
-    def forest(order: np.ndarray, begins: np.ndarray, rep: np.ndarray) -> Iterator[tuple[int, int]]:
-        at = np.flatnonzero(~begins)
-        uniq, inverse = np.unique(rep, return_inverse=True)
-        own = UnionFind(len(uniq))
-        for x, y in zip(inverse[order[at - 1]].tolist(), inverse[order[at]].tolist()):
-            if own.union(x, y):
-                yield int(uniq[x]), int(uniq[y])
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the n-grams by hash, two bits or more an n-gram. The sets' bitmaps differ in at most as many bits as the
+    sets in n-grams; the xor of a bitmap's halves is the next shorter bitmap."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens) >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _chains(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, sig: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, lo), and where a chain of size ranges begins that can agree one with the next."""
+    order = np.lexsort((sig, lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
+    same = np.zeros(len(key), bool)
+    if len(key):
+        run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        reach = np.maximum.accumulate(hi + run * (1 << 40)) - run * (1 << 40)  # the largest size so far in the run
+        same[1:] = (key[1:] == key[:-1]) & (num * lo[1:] <= den * reach[:-1])
+    return order, ~same
+
+
+def _forest(order: np.ndarray, begins: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = np.flatnonzero(~begins)
+    uniq, inverse = np.unique(sig, return_inverse=True)
+    own = UnionFind(len(uniq))
+    for x, y in zip(inverse[order[at - 1]].tolist(), inverse[order[at]].tolist()):
+        if own.union(x, y):
+            yield int(uniq[x]), int(uniq[y])
+
+
+def _levels(sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
+    bounds = size_bounds(num, den, max(len(s) for s in sets))
+    bounds = size_bounds(num, den, den * bounds[-1] // num + 1)
+    return bounds, (np.searchsorted(bounds, [len(s) for s in sets], "right") - 1).tolist()
+
+
+def _rare(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Of sets (sig, n, tokens): pairs (u, v) that share a slice which is not common, and rows (sig, level, margin,
+    common) of what each set shows at each level."""
+    fields, types = ("key", "who", "size", "level"), ("<u8", "<i8", "<i4", "<i2")
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "tokens"):
+            sigs, own = batch.column(0).to_numpy(), [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
+            bounds, levels = _levels(own, num, den)
+            shown = [(i, at, *slice_keys(own[i], at, bounds, num, den)) for i, level in enumerate(levels) for at in (level, level - 1) if at >= 0]
+            key = np.concatenate([k for *_, k, _ in shown])
+            row = np.repeat(np.arange(len(shown)), [len(k) for *_, k, _ in shown])
+            owner, level = np.array([i for i, *_ in shown])[row], np.array([at for _, at, *_ in shown])[row]
+            uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+            many = counts > COMMON  # common already: told once, whatever the number
+            common = np.bincount(row[many[inverse]], minlength=len(shown))
+            rows = [(int(sigs[i]) % parts, int(sigs[i]), at, margin, int(common[j]), *[None] * 5) for j, (i, at, _, margin) in enumerate(shown)]
+            few = ~many[inverse]
+            for part, values in deal(key[few], parts, key[few], sigs[owner[few]], np.array([len(s) for s in own], np.int32)[owner[few]], level[few].astype("<i2")):
+                rows.append((part, None, None, None, None, *values, None))
+            for part, (told,) in deal(uniq[many], parts, uniq[many]):
+                rows.append((part, *[None] * 8, told))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "sig", "level", "margin", "common", *[f"{f}s" for f in fields], "many"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, who, size, level = (joined(t.column(f"{f}s"), k)[0] for f, k in zip(fields, types))
+        order = np.lexsort((who, size, key))
+        key, who, size, level = key[order], who[order], size[order].astype(np.int64), level[order]
+        uniq, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        many = (counts > COMMON) | np.isin(uniq, joined(t.column("many"), "<u8")[0])
+        hot = many[inverse] if len(key) else np.zeros(0, bool)
+        held, n_held = np.unique(np.stack([who[hot], level[hot].astype(np.int64)], 1), axis=0, return_counts=True) if hot.any() else (np.zeros((0, 2), np.int64), [])
+        key, who, size = key[~hot], who[~hot], size[~hot]
+        pairs = []
+        for step in range(1, COMMON):
+            near = np.flatnonzero((key[step:] == key[:-step]) & (num * size[step:] <= den * size[:-step]) & (who[step:] != who[:-step])) if len(key) > step else np.zeros(0, np.int64)
+            if len(near):
+                pairs.append(np.stack([who[near], who[near + step]], 1))
+        found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        rest = t.filter(pa.compute.is_valid(t.column("sig"))).select(["sig", "level", "margin", "common"])
+        none = lambda n, kind: pa.nulls(n, kind)
+        n, h, r = len(found), len(held), len(rest)
+        return pa.table({
+            "u": pa.chunked_array([pa.array(found[:, 0]), none(h + r, pa.int64())]), "v": pa.chunked_array([pa.array(found[:, 1]), none(h + r, pa.int64())]),
+            "sig": pa.chunked_array([none(n, pa.int64()), pa.array(held[:, 0]), *rest.column("sig").chunks]),
+            "level": pa.chunked_array([none(n, pa.int32()), pa.array(held[:, 1].astype(np.int32)), *rest.column("level").chunks]),
+            "margin": pa.chunked_array([none(n + h, pa.int32()), *rest.column("margin").chunks]),
+            "common": pa.chunked_array([none(n, pa.int32()), pa.array(np.asarray(n_held, np.int32)), *rest.column("common").chunks]),
+        })
+
+    schema = "part long, sig long, level int, margin int, common int, keys binary, whos binary, sizes binary, levels binary, many binary"
+    return sets.select("sig", "n", "tokens").mapInArrow(show, schema).groupBy("part").applyInArrow(meet, "u long, v long, sig long, level int, margin int, common int")
+
+
+def _common(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Edges among sets (sig, n, tokens, levels) by all their slices at the given levels, thinned to forests."""
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "tokens"):
-            reps, sizes, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
-            bounds = size_bounds(num, den, max(len(s) for s in sets))
-            bounds += size_bounds(num, den, den * bounds[-1] // num + 1)[len(bounds) :]
-            levels = np.searchsorted(bounds, [len(s) for s in sets], "right") - 1
-            keys = [np.concatenate([slice_keys(s, at, bounds, num, den) for at in (level, level - 1) if at >= 0]) for s, level in zip(sets, levels.tolist())]
+            sigs, sets = batch.column(0).to_numpy(), [np.frombuffer(b, "<u8") for b in batch.column(2).to_pylist()]
+            bounds, _ = _levels(sets, num, den)
+            keys = [np.concatenate([slice_keys(s, at, bounds, num, den)[0] for at in levels]) for s, levels in zip(sets, batch.column(3).to_pylist())]
             key, owner = np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys])
-            size, rep = sizes[owner].astype(np.int64), reps[owner]
-            order, begins = chains(key, size, size, rep)
-            rows = [(None, u, v, None, None, None, None) for u, v in forest(order, begins, rep)]
+            size, sig = np.array([len(s) for s in sets], np.int64)[owner], sigs[owner]
+            order, begins = _chains(key, size, size, sig, num, den)
+            rows = [(None, u, v, None, None, None, None) for u, v in _forest(order, begins, sig)]
             first = np.flatnonzero(begins)
             last = np.append(first[1:], len(order)) - 1
-            for part, values in deal(key[order[first]], parts, key[order[first]], rep[order[first]], size[order[first]], size[order[last]]):
+            for part, values in deal(key[order[first]], parts, key[order[first]], sig[order[first]], size[order[first]], size[order[last]]):
                 rows.append((part, None, None, *values))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.binary()] * 4)], names=["part", "u", "v", "key", "rep", "lo", "hi"])
 
     def meet(t: pa.Table) -> pa.Table:
         (key, _), (rep, _), (lo, _), (hi, _) = joined(t.column("key"), "<u8"), joined(t.column("rep"), "<i8"), joined(t.column("lo"), "<i8"), joined(t.column("hi"), "<i8")
-        order, begins = chains(key, lo, hi, rep)
-        edges = list(forest(order, begins, rep))
+        edges = list(_forest(*_chains(key, lo, hi, rep, num, den), rep))
         near = [(u, v) for u, v in zip(t.column("u").to_pylist(), t.column("v").to_pylist()) if u is not None]
         return pa.table([pa.array([x[i] for x in (*edges, *near)], pa.int64()) for i in range(2)], names=["u", "v"])
 
-    shown = sets.select("sig", "n", "tokens").mapInArrow(show, "part long, u long, v long, key binary, rep binary, lo binary, hi binary")
+    shown = sets.select("sig", "n", "tokens", "levels").mapInArrow(show, "part long, u long, v long, key binary, rep binary, lo binary, hi binary")
     shown = shown.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("u", "v"), F.lit(parts))))
     return shown.groupBy("part").applyInArrow(meet, "u long, v long")
 
 
+def _blocks(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Edges among sets (sig, n, tokens, bits) so that partners are connected."""
+    rare = settle(_rare(sets, num, den, parts))
+    pairs = rare.where("u is not null").select("u", "v").distinct()
+    maps = sets.select("sig", "n", "bits")
+    both = pairs.join(maps.toDF("u", "nu", "bu"), "u").join(maps.toDF("v", "nv", "bv"), "v")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, u, nu, bu, nv, bv = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("v", "u", "nu", "bu", "nv", "bv"))
+            ok = [bits_apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (den + num) <= (a + b) * (den - num) for x, y, a, b in zip(bu, bv, nu, nv)]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    told = rare.where("sig is not null").groupBy("sig", "level").agg(F.max("margin").alias("margin"), F.sum("common").alias("common"))
+    unsafe = told.where("common >= margin and common > 0").groupBy("sig").agg(F.collect_list("level").alias("levels"))
+    hot = sets.join(unsafe, "sig").select("sig", "n", "tokens", "levels")
+    return both.mapInArrow(close, "u long, v long").union(_common(hot, num, den, parts))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), keep_signature: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -281,7 +388,8 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
     num, den = similarity
     parts = parts_for(docs, PART_BYTES)
     scanned = settle(_scan(docs, k, num, den, parts))
-    need = F.expr(f"greatest(n - ({num}L * n + {den - 1}) div {den} + 1, ({LOOK[0]}L * n + {LOOK[1] - 1}) div {LOOK[1]}) - (n - ({num}L * n + {den - 1}) div {den})")
+    lack = f"(n - ({num}L * n + {den - 1}) div {den})"
+    need = F.expr(f"greatest({lack} + 1, least(n, 2 * {lack} + 1)) - {lack}")
     left = scanned.where("n > 0 and doc_id is not null").where(F.col("found") >= need)
     classes = settle(left.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
@@ -290,10 +398,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
             sets = ngram_sets(batch.column(1), k)
             sig = batch.column(0).to_pylist()
             rows = [(i, s) for i, s in enumerate(sets) if signature(s) == sig[i]]  # an id may stand for several texts
-            yield pa.RecordBatch.from_arrays([pa.array([sig[i] for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["sig", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([sig[i] for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([s.tobytes() for _, s in rows], pa.binary()), pa.array([bitmap(s).tobytes() for _, s in rows], pa.binary())], names=["sig", "n", "tokens", "bits"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes.select("rep", "sig"), "rep")
-    sets = settle(chosen.select("sig", "text").mapInArrow(read, "sig long, n int, tokens binary"))
+    sets = settle(chosen.select("sig", "text").mapInArrow(read, "sig long, n int, tokens binary, bits binary"))
     blocks = components(_blocks(sets, num, den, parts)).toDF("sig", "block")
     sized = blocks.join(classes.select("sig", "n"), "sig")
     tiles = sized.groupBy("block").agg(F.ceil(F.sum("n") / TILE_NGRAMS).cast("int").alias("tiles"))

@@ -55,10 +55,11 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed,k,sim", [(1, 4, (85, 100)), (2, 5, (4, 5)), (3, 4, (85, 100))])
+@pytest.mark.parametrize("seed,k,sim", [(1, 4, (85, 100)), (2, 5, (4, 5)), (3, 4, (85, 100)), (4, 5, (4, 5)), (5, 2, (1, 2))])
 def test_classes_match_brute_force(spark, monkeypatch, seed, k, sim):
     if seed == 3:
         monkeypatch.setattr(setjoin, "TILE_NGRAMS", 500)
+        monkeypatch.setattr(setjoin, "COMMON", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, part int, sig string").repartition(5)
     got = setjoin.jaccard_classes(df, k, sim)
@@ -107,7 +108,7 @@ def test_components(spark):
 @pytest.mark.parametrize("num,den", [(85, 100), (4, 5)])
 def test_partners_share_a_slice(num, den):
     rng = np.random.default_rng(3)
-    bounds = setjoin.size_bounds(num, den, 5000)
+    bounds = setjoin.size_bounds(num, den, 9000)
     for _ in range(1500):
         n = int(rng.choice([1, 2, 3, 5, 8, 13, 20, 40, 100, 300, 1000]) * rng.uniform(1, 1.7)) or 1
         x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
@@ -119,5 +120,7 @@ def test_partners_share_a_slice(num, den):
         keys = []
         for s in (x, y):
             level = int(np.searchsorted(bounds, len(s), "right")) - 1
-            keys.append({k for at in (level, level - 1) if at >= 0 for k in setjoin.slice_keys(s, at, bounds, num, den).tolist()})
+            keys.append({k for at in (level, level - 1) if at >= 0 for k in setjoin.slice_keys(s, at, bounds, num, den)[0].tolist()})
         assert keys[0] & keys[1]
+        apart = setjoin.bits_apart(setjoin.bitmap(x), setjoin.bitmap(y))
+        assert apart <= len(x) + len(y) - 2 * both
