@@ -1,13 +1,21 @@
-"""Names of the library's queries, with the SQL that states the same result."""
+"""Names of the library's queries, with the SQL that states the same result.
+
+Where SQL can state a result, it is written for DuckDB over the same tables; the rest is tested in tests/.
+"""
 
 from __future__ import annotations
 
+from harrow.plans import contracts, failures, pages, scripts, transcripts
+
 FLAGSHIP = "page_verdicts"
+MODULES = (pages, failures, contracts, transcripts, scripts)
 
 
 def queries() -> dict:
-    return {}
+    """Every query: name -> (spark, sf_dir) -> DataFrame."""
+    return {name: q for module in MODULES for name, q in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """The SQL of those queries that SQL can express."""
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
