@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from harrow.functions import dom, sanitize
-from harrow.functions.regex import strip
+from harrow.functions.regex import first_label
 
 NODE_SCHEMA = (
     "page_id long, node_id int, parent_id int, depth int, pos int, tag string, attrs map<string,string>, text string, tail string, subtree_end int, size int, "
@@ -269,7 +269,15 @@ def removed_elements(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after.select("page_id", "iid"), ["page_id", "iid"], "left_anti")
 
 
+#: Calls that dump a whole page into the conversation, and what they are called.
+DUMPS = (
+    (r"\bpage\s*\.\s*content\s*\(", "page.content()"),
+    (r"""\.\s*inner_html\s*\(\s*["'](?:html|body)["']""", '.inner_html("html"/"body")'),
+    (r"document\s*\.\s*documentElement\s*\.\s*outerHTML", "document.documentElement.outerHTML"),
+    (r"document\s*\.\s*body\s*\.\s*innerHTML", "document.body.innerHTML"),
+)
+
+
 def raw_dump(code: Column) -> Column:
-    """Whether submitted code returns a page's raw HTML instead of data."""
-    forms = (r"return\s+(?:await\s+)?page\.content\(\)", r"print\(\s*(?:await\s+)?page\.content\(\)\s*\)", r"return\s+\w*html\w*\s*$", r"[\"']html[\"']\s*:\s*(?:await\s+)?page\.content\(\)")
-    return strip(code).rlike("(?m)" + "|".join(forms))
+    """What in submitted code dumps a page's raw HTML; null if nothing does."""
+    return first_label(code, DUMPS)

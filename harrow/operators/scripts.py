@@ -100,10 +100,21 @@ def matched_params(visits: DataFrame, fills: DataFrame, inputs: DataFrame | None
 
 
 def hints(matched: DataFrame, visits: DataFrame) -> DataFrame:
-    """(visit_id, hint): a note on the parameters of an address that match what was filled in."""
-    line = F.concat(F.lit("  "), "key", F.lit("="), "value", F.lit("  <- "), "action", F.lit('("'), "fill_value", F.lit('")'))
-    notes = matched.groupBy("visit_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    return notes.join(visits.select("visit_id", "url_after"), "visit_id").select("visit_id", F.concat(F.lit("The address has parameters that match what was filled in:\n"), "lines", F.lit("\nURL: "), "url_after").alias("hint"))
+    """(visit_id, hint): a note on the parameters of an address that match what was filled in, and up to five others."""
+    left = F.when(F.startswith("action", F.lit("input:")), F.concat(F.lit('inputs["'), F.substring_index("action", ":", -1), F.lit('"]'))).otherwise(F.concat(F.lit('"'), "fill_value", F.lit('"')))
+    notes = matched.groupBy("visit_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  "), left, F.lit("  →  "), "key"))), "\n").alias("lines"))
+    rest = changed_params(visits).join(matched.select("visit_id", "key"), ["visit_id", "key"], "left_anti")
+    shown = F.array_join(F.slice(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.element_at("values", 1)))), 1, 5), ", ")
+    others = rest.groupBy("visit_id").agg(F.concat(F.lit("\n  ("), shown, F.lit(", etc.)")).alias("others"))
+    both = notes.join(others, "visit_id", "left").join(visits.select("visit_id", "url_after"), "visit_id")
+    head = F.concat(F.lit("After the form was sent, the page went to:\n  "), "url_after", F.lit("\nThese inputs appear in its parameters:\n"))
+    return both.select("visit_id", F.concat(head, "lines", F.coalesce("others", F.lit(""))).alias("hint"))
+
+
+def complex_hints(visits: DataFrame) -> DataFrame:
+    """(visit_id, hint): a note on addresses that carry inputs in a structured parameter."""
+    found = changed_params(visits).where(urls.param_class(F.col("key"), F.col("values")) == "complex").groupBy("visit_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("keys"))
+    return found.join(visits.select("visit_id", "url_after"), "visit_id").select("visit_id", F.concat(F.lit("After the form was sent, the page went to:\n  "), "url_after", F.lit("\nInputs seem to be encoded in: "), "keys").alias("hint"))
 
 
 def selectors_in_loops(found: DataFrame, loops: DataFrame) -> DataFrame:
@@ -113,6 +124,16 @@ def selectors_in_loops(found: DataFrame, loops: DataFrame) -> DataFrame:
 
 
 def checklist(text: Column) -> Column:
-    """The items of a checklist in a text: in a block of its own, after a heading, or the dashed lines."""
-    block = F.coalesce(grab(text, r"<checklist>(.*?)</checklist>", 1, "si"), grab(text, r"#+\s*checklist[^\n]*\n(.*?)(?=\n#|\z)", 1, "si"), text)
-    return F.filter(F.transform(F.split(block, "\n"), lambda x: strip(F.regexp_extract(x, r"^\s*(?:[-*]|\d+[.)])\s+(?:\[[ xX]\]\s*)?(.*)$", 1))), lambda x: x != "")
+    """The checklist in an answer: its fenced block, else what follows the heading of step 4, else the lines with boxes
+    (and the dashed lines under one on fields), else all of it."""
+    step = grab(text, r"\*\*Step\s*4[^*]*\*\*[^\n]*\n(.*)", 1, "s")
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(step), r"^```\w*\s*\n?", ""), r"\n?```\s*$", ""))
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
+
+    def walk(state: Column, line: Column) -> Column:
+        box, item = line.startswith("[ ]"), line.startswith("- ") & state["inside"]
+        kept = F.when(box, F.array(line)).when(item, F.array(F.concat(F.lit("    "), line))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(box, F.lower(line).contains("field")).otherwise(item).alias("inside"), F.concat(state["out"], kept).alias("out"))
+
+    boxes = F.aggregate(F.transform(F.split(text, "\n"), strip), start, walk, lambda s: F.array_join(s["out"], "\n"))
+    return F.coalesce(strip(grab(text, r"```checklist\s*\n(.*?)```", 1, "s")), bare, F.when(boxes != "", boxes), strip(text))

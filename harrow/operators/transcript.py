@@ -239,7 +239,7 @@ def compression_plan(messages: DataFrame, summary_marker: str) -> DataFrame:
     inside = inside.join(last, "conv_id").withColumn("protected", F.coalesce((F.col("pos") == F.col("rejection")) | ((F.col("pos") == F.col("rejection") - 1) & F.col("submitted")), F.lit(False)))
     plan = inside.groupBy("conv_id", "start", "end").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("protected")).alias("n_free"), F.coalesce(F.sum(F.when(~F.col("protected"), F.col("tokens"))), F.lit(0)).alias("free_tokens"))
     worth = (F.col("n") >= LEAST_MESSAGES) & (F.col("tokens") >= LEAST_TOKENS) & (F.col("n_free") >= LEAST_MESSAGES) & (F.col("free_tokens") >= LEAST_TOKENS)
-    calls = F.when(F.col("free_tokens") > THREE_WAY_TOKENS, 3).when(F.col("free_tokens") > SPLIT_TOKENS, 2).otherwise(1)
+    calls = F.when(F.col("free_tokens") >= THREE_WAY_TOKENS, 3).when(F.col("free_tokens") >= SPLIT_TOKENS, 2).otherwise(1)
     return plan.withColumn("worth_it", worth).withColumn("calls", F.when(worth, calls).otherwise(0))
 
 
@@ -396,20 +396,70 @@ def aged_zooms(text: Column, current_turn: Column) -> Column:
 def sample_lines(text: Column, slices: int = 7, lines: int = 15) -> Column:
     """array of (line, text): evenly spaced slices of lines; all lines if they are few."""
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    n = F.size(numbered)
-    step = (n - lines) / (slices - 1)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.floor(k * step))
-    return F.when(n <= slices * lines, numbered).otherwise(F.filter(numbered, lambda x: F.exists(starts, lambda s: (x["line"] > s) & (x["line"] <= s + lines))))
+    step = F.greatest(F.lit(1), F.floor((F.size(numbered) - lines) / (slices - 1)))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: k * step)
+    return F.when(F.size(numbered) <= slices * lines, numbered).otherwise(F.filter(numbered, lambda x: F.exists(starts, lambda s: (x["line"] > s) & (x["line"] <= s + lines))))
 
 
-def grep(text: Column, pattern: str, context: int = 2, most: int = 50) -> Column:
-    """struct<n, hits>: how many lines match, and the first of them with their context."""
+def search_lines(text: Column, query: str, context: int = 3, most: int = 50) -> Column:
+    """struct<n, hits>: how many lines hold the query in any case, and the first of them with their context (start is the
+    number of the first line shown). Contexts that overlap are repeated."""
     rows = F.split(text, "\n")
-    at = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
-    hits = F.transform(F.slice(at, 1, most), lambda i: F.struct((i + 1).alias("line"), F.array_join(F.slice(rows, F.greatest(i - context, F.lit(0)) + 1, F.least(i, F.lit(context)) + context + 1), "\n").alias("text")))
-    return F.struct(F.size(at).alias("n"), hits.alias("hits"))
+    at = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(F.lower(x), F.lit(query.lower())), i)), lambda i: i.isNotNull())
+
+    def hit(i: Column) -> Column:
+        first = F.greatest(i - context, F.lit(0))
+        return F.struct((i + 1).alias("line"), (first + 1).alias("start"), F.array_join(F.slice(rows, first + 1, i - first + context + 1), "\n").alias("text"))
+
+    return F.struct(F.size(at).alias("n"), F.transform(F.slice(at, 1, most), hit).alias("hits"))
 
 
 def view_lines(text: Column, start: int, end: int, most: int = 200) -> Column:
     """Lines start to end (from 1, inclusive), 200 at most."""
     return F.array_join(F.slice(F.split(text, "\n"), max(1, start), max(0, min(end - max(1, start) + 1, most))), "\n")
+
+
+# ---- histories for other readers -------------------------------------------------------------------------------------
+
+
+def attempt_history(attempts: DataFrame, most: int) -> DataFrame:
+    """(job_id, history) of earlier attempts (job_id, attempt_no, script, feedback, exit_code, output): long scripts cut in
+    the middle, the first fifteen lines of output, and which attempt of how many is next."""
+    script = F.when(F.length("script") > 1500, F.concat(F.left("script", F.lit(750)), F.lit("\n# ... (truncated) ...\n"), F.right("script", F.lit(750)))).otherwise(F.col("script"))
+    sample = F.array_join(F.slice(F.split("output", "\n"), 1, 15), "\n")
+    part = F.format_string(
+        "### Attempt %d\n**Script used:**\n```python\n%s\n```\n**Rejection feedback:** %s\n**Exit code:** %s\n**Output sample (first 15 lines):**\n```\n%s\n```\n",
+        "attempt_no", script, F.coalesce("feedback", F.lit("")), F.coalesce(F.col("exit_code").cast("string"), F.lit("None")), F.coalesce(sample, F.lit("")),
+    )
+    rows = attempts.groupBy("job_id").agg(F.max("attempt_no").alias("last"), F.transform(F.sort_array(F.collect_list(F.struct("attempt_no", part.alias("p")))), lambda x: x["p"]).alias("parts"))
+    head = F.format_string(f"## Previous Attempts (you are reviewing attempt %d of {most})\n\n", F.col("last") + 1)
+    return rows.select("job_id", F.concat(head, F.array_join("parts", "\n")).alias("history"))
+
+
+def conversation_summary(messages: DataFrame, most: int = 3000) -> DataFrame:
+    """(conv_id, summary): every message under a heading, long texts and results cut in the middle."""
+    note = "\n\n... (truncated) ...\n\n"
+    short = lambda x: F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most // 2)), F.lit(note), F.right(x, F.lit(most // 2)))).otherwise(x)
+
+    def shown(b: Column) -> Column:
+        call = F.concat(F.lit("**Tool call: `"), F.coalesce(b["name"], F.lit("?")), F.lit("`** — "), F.coalesce(b["input"], F.lit("")))
+        result = F.concat(F.when(b["is_error"], "**Tool ERROR:**\n```\n").otherwise("**Tool result:**\n```\n"), short(F.coalesce(b["content"], F.lit(""))), F.lit("\n```"))
+        return F.when(b["type"] == "text", short(F.coalesce(b["text"], F.lit("")))).when(b["type"] == "tool_use", call).when(b["type"] == "tool_result", result)
+
+    by = Window.partitionBy("conv_id").orderBy("idx")
+    body = F.array_join(F.filter(F.transform("blocks", shown), lambda x: x.isNotNull()), "\n\n")
+    m = messages.select("conv_id", "idx", F.format_string("### %s (message %d)\n\n%s\n", F.upper("role"), F.row_number().over(by), body).alias("p"))
+    return m.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "p"))), lambda x: x["p"]), "\n").alias("summary"))
+
+
+def summary_halves(messages: DataFrame) -> DataFrame:
+    """(conv_id, n, cut): how many messages, and where the first of two halves ends: after the user's message that follows
+    the middle assistant's; half the messages where there are fewer than two answers."""
+    by = Window.partitionBy("conv_id").orderBy("idx")
+    m = messages.withColumns({"pos": F.row_number().over(by) - 1, "answer": F.sum((F.col("role") == "assistant").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    m = m.withColumns({"n": F.count("*").over(Window.partitionBy("conv_id")), "answers": F.count_if(F.col("role") == "assistant").over(Window.partitionBy("conv_id"))})
+    middle = F.floor(F.col("answers") / 2) + 1
+    after = F.min(F.when((F.col("role") == "user") & (F.col("answer") >= middle), F.col("pos") + 1))
+    own = F.min(F.when((F.col("role") == "assistant") & (F.col("answer") == middle), F.col("pos") + 1))
+    got = m.groupBy("conv_id", "n", "answers").agg(after.alias("after"), own.alias("own"))
+    return got.select("conv_id", "n", F.when(F.col("answers") < 2, F.floor(F.col("n") / 2)).otherwise(F.coalesce("after", "own")).cast("int").alias("cut"))
