@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,28 +58,33 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def featurise(docs: list[list[str]], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each token list, concatenated, and the offsets of the lists."""
+def _occurrences(docs: list[list[str]], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of token lists with repeats, and the list of each."""
     counts = np.array([len(d) for d in docs], np.int64)
-    flat = pa.array([t for d in docs for t in d], pa.string())
-    own = hash_strings(flat)
+    coded = pa.array([t for d in docs for t in d], pa.string()).dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    own = hash_strings(coded.dictionary)[at] if len(at) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(docs)), counts)
-    all_features, owners = [own], [owner]
+    features, owners = [own], [owner]
     gram = own
     for n in range(2, settings.ngrams + 1):
         gram = mix(gram[:-1] * np.uint64(3) + own[n - 1 :]) if len(own) >= n else np.zeros(0, np.uint64)
         inside = owner[: len(gram)] == owner[n - 1 :] if len(gram) else np.zeros(0, bool)
-        all_features.append(gram[inside])
+        features.append(gram[inside])
         owners.append(owner[: len(gram)][inside])
-    if settings.stems and len(flat):
-        coded = flat.dictionary_encode()
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        for n in settings.stems:
-            stems = np.fromiter((xxhash.xxh3_64_intdigest(f"{n} {w[:n]}") if len(w) > n else 0 for w in coded.dictionary.to_pylist()), np.uint64)[at]
-            all_features.append(stems[stems > 0])
-            owners.append(owner[stems > 0])
-    bucket = (mix(np.concatenate(all_features)) >> np.uint64(64 - settings.bits)).astype(np.int64)
-    keyed = np.unique((np.concatenate(owners) << settings.bits) + bucket)
+    for n in settings.stems if len(at) else ():
+        longer = pc.greater(pc.utf8_length(coded.dictionary), n).to_numpy(zero_copy_only=False)
+        stems = hash_strings(pc.binary_join_element_wise(str(n), pc.utf8_slice_codeunits(coded.dictionary, 0, n), " "))
+        has = longer[at]
+        features.append(stems[at[has]])
+        owners.append(owner[has])
+    return (mix(np.concatenate(features)) >> np.uint64(64 - settings.bits)).astype(np.int64), np.concatenate(owners)
+
+
+def featurise(docs: list[list[str]], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of each token list, concatenated, and the offsets of the lists."""
+    bucket, owner = _occurrences(docs, settings)
+    keyed = np.unique((owner << settings.bits) + bucket)
     return keyed & ((1 << settings.bits) - 1), np.searchsorted(keyed >> settings.bits, np.arange(len(docs) + 1))
 
 
@@ -165,8 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) ->
 
 
 def _probabilities(texts: pa.Array, w: np.ndarray, settings: Settings) -> np.ndarray:
-    features, offsets = featurise([tokens_of(t) for t in texts.to_pylist()], settings)
-    logit = np.array([w[features[a:b]].sum(dtype=np.float64) for a, b in zip(offsets[:-1], offsets[1:])]) + float(w[-1])
+    """Score of each text. Features of weight 0, nearly all of them, are left out before they are made distinct."""
+    bucket, owner = _occurrences([tokens_of(t) for t in texts.to_pylist()], settings)
+    told = np.flatnonzero(w[bucket])
+    keyed = np.unique((owner[told] << settings.bits) + bucket[told])
+    logit = float(w[-1]) + np.bincount(keyed >> settings.bits, w[keyed & ((1 << settings.bits) - 1)].astype(np.float64), minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
