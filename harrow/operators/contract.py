@@ -401,9 +401,11 @@ def validate_table(df: DataFrame, contract: Any, ordinal: str) -> DataFrame:
 
 def pass_rate(df: DataFrame, found: DataFrame, ordinal: str) -> DataFrame:
     """(n_items, n_failed, pass_rate) of a table and its error rows: two aggregates, one row."""
-    failed = found.agg(F.countDistinct("ord").alias("n_failed"))
-    total = df.agg(F.count(ordinal).alias("n_items"))
-    return total.join(failed).withColumn("pass_rate", F.when(F.col("n_items") > 0, (F.col("n_items") - F.col("n_failed")) / F.col("n_items")))
+    zero = F.lit(0).cast("long")
+    failed = found.agg(F.countDistinct("ord").alias("n_failed")).select(zero.alias("n_items"), "n_failed")
+    both = df.agg(F.count(ordinal).alias("n_items")).select("n_items", zero.alias("n_failed")).union(failed)
+    sums = both.agg(F.sum("n_items").alias("n_items"), F.sum("n_failed").alias("n_failed"))
+    return sums.withColumn("pass_rate", F.when(F.col("n_items") > 0, (F.col("n_items") - F.col("n_failed")) / F.col("n_items")))
 
 
 # ---- the contract in words -------------------------------------------------------------------------------------------

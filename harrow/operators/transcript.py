@@ -124,8 +124,8 @@ def tool_summary(calls: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.sum(n).alias("chars"), F.max(n).alias("max_chars"),
         F.count_if("is_error").alias("errors"),
     )
-    total = by.agg(F.sum("total_ms").alias("all_ms"))
-    return by.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("all_ms") > 0, F.col("total_ms") / F.col("all_ms")).otherwise(0.0)).drop("all_ms")
+    whole = F.sum("total_ms").over(Window.partitionBy())  # one row a tool
+    return by.withColumn("share", F.when(whole > 0, F.col("total_ms") / whole).otherwise(0.0))
 
 
 def filter_savings(analyses: DataFrame) -> DataFrame:

@@ -82,3 +82,11 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "ts string, url string, target_url string, status int, html string").write.json(f"{tmp_path}/c")
     _run(sessions.verdict_counts(spark.readStream.schema(schema).json(f"{tmp_path}/c")), "verdicts")
     assert sorted((r.verdict, r.n) for r in spark.sql("select * from verdicts").collect()) == [("real_page", 3), ("server_error", 1)]
+
+
+def test_tool_summary(spark):
+    calls = spark.createDataFrame([("a", 30, "xx", False), ("a", 10, "x", True), ("b", 60, None, False)], "name string, duration_ms long, content string, is_error boolean")
+    got = {r.name: (r.n, r.total_ms, r.max_ms, r.chars, r.errors, r.share) for r in transcript.tool_summary(calls).collect()}
+    assert got == {"a": (2, 40, 30, 3, 1, 0.4), "b": (1, 60, 60, 0, 0, 0.6)}
+    saved = spark.createDataFrame([(100, 25), (100, 50)], "total_page_chars long, filtered_page_chars long")
+    assert transcript.filter_savings(saved).first().saved == 0.625
