@@ -9,7 +9,8 @@
 3. A block's sets, most frequent n-grams first, are stored in a radix trie. Each set walks the trie, which shares the
    overlap counted so far among sets with equal beginnings, and leaves a subtree when what remains can't reach the
    threshold. Subtrees whose sets are all linked with it already are skipped, so a large group of near copies costs
-   about one comparison a member. Blocks over a size are cut into tiles, compared pair by pair.
+   about one comparison a member. Blocks over a size are cut into tiles: each is compared with the first, and what is
+   then not in the block's largest class with all of them, which for a large group of near copies is linear.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from harrow.llm.common import MIX, deal, joined, mix, parts_for, settle, shingle
 from harrow.llm.components import UnionFind, components
 
 #: Scanned bytes of a part and n-grams of a tile.
-PART_BYTES, TILE_NGRAMS = 4 << 20, 2_000_000
+PART_BYTES, TILE_NGRAMS = 4 << 20, 250_000
 #: N-grams from which a slice is telling; sets from which a shared slice is common.
 TELLING, COMMON = 3, 32
 
@@ -405,13 +406,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
     blocks = components(_blocks(sets, num, den, parts)).toDF("sig", "block")
     sized = blocks.join(classes.select("sig", "n"), "sig")
     tiles = sized.groupBy("block").agg(F.ceil(F.sum("n") / TILE_NGRAMS).cast("int").alias("tiles"))
-    placed = settle(blocks.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")))
-    cut = bool(placed.where("tiles > 1").limit(1).count())
-    if cut:
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        placed = placed.select("sig", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    else:
-        placed = placed.select("sig", "block", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    placed = settle(sized.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")))
 
     def walk(t: pa.Table) -> pa.Table:
         names = t.column("sig").to_numpy()
@@ -421,8 +416,27 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([pa.array(names[kept[moved]]), pa.array(names[kept[root[moved]]])], names=["u", "v"])
 
-    links = settle(sets.select("sig", "tokens").join(placed, "sig").groupBy("block", "i", "j").applyInArrow(walk, "u long, v long"))
-    linked = components(links).toDF("sig", "root") if cut else links.toDF("sig", "root")
+    def linked_in(cells: DataFrame) -> DataFrame:
+        return sets.select("sig", "tokens").join(cells, "sig").groupBy("block", "i", "j").applyInArrow(walk, "u long, v long")
+
+    zero = F.lit(0).alias("i")
+    small = placed.where("tiles = 1").select("sig", "block", zero, F.lit(0).alias("j"))
+    if placed.where("tiles > 1").limit(1).count():
+        # a large block: every tile with the first one; then what isn't in its largest class so far with every tile
+        big = placed.where("tiles > 1")
+        cells = F.when(F.col("tile") == 0, F.sequence(F.lit(1), F.col("tiles") - 1)).otherwise(F.array("tile"))
+        links = settle(linked_in(small.union(big.select("sig", "block", zero, F.explode(cells).alias("j")))))
+        rooted = big.join(components(links).toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        by_class = rooted.groupBy("block", "root").agg(F.sum("n").alias("size"))
+        main = by_class.groupBy("block").agg(F.max_by("root", "size").alias("main"), (F.sum("size") - F.max("size")).alias("rest"))
+        main = main.withColumn("rests", F.ceil(F.col("rest") / TILE_NGRAMS).cast("int")).where("rest > 0")
+        marked = rooted.join(main, "block")
+        every = marked.select("sig", "block", F.explode(F.sequence(F.lit(1), F.col("rests"))).alias("i"), F.col("tile").alias("j"))
+        outer = marked.where("root <> main").withColumn("i", (F.pmod(F.xxhash64("sig"), F.col("rests")) + 1).cast("int"))
+        outer = outer.select("sig", "block", "i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
+        linked = components(links.union(linked_in(every.union(outer).distinct()))).toDF("sig", "root")
+    else:
+        linked = settle(linked_in(small)).toDF("sig", "root")
     rooted = classes.join(linked, "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("sig", "component")
     out = scanned.join(named, "sig", "left")
