@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harrow.functions.regex import first_label, grab, has, has_any, java, strip
+from harrow.functions.regex import first_label, grab, has, has_any, java, let, strip
 
 # What error texts hold, by category.
 PARSE_ERRORS = (r"^SyntaxError:", r"^IndentationError:", r"^TabError:", r"^ModuleNotFoundError:", r"^ImportError:")
@@ -79,32 +79,37 @@ CRASH_NAMES = (
 
 def strip_route_wrapper(stderr: Column) -> Column:
     """Without the wrapper that route callbacks put around an error, the quoted error included."""
-    return F.regexp_replace(stderr, java(ROUTE_WRAPPER, "s"), "")
+    return F.when(F.contains(stderr, F.lit("while running route callback")), F.regexp_replace(stderr, java(ROUTE_WRAPPER, "s"), "")).otherwise(stderr)
 
 
 def classify_error(stderr: Column, exit_code: Column, schema_error: Column, stdout: Column | None = None) -> Column:
     """The category of a failure, A to G."""
     raw = F.coalesce(stderr, F.lit(""))
     out = F.coalesce(stdout, F.lit("")) if stdout is not None else F.lit("")
-    silent, contract = strip(raw) == "", F.coalesce(schema_error, F.lit("")) != ""
-    text = strip_route_wrapper(raw)
+    contract = F.coalesce(schema_error, F.lit("")) != ""
     code = lambda codes: F.coalesce(exit_code.isin(*codes), F.lit(False))
-    timed_out = grab(text, TIMEOUT)
-    log = F.when(F.instr(text, "Call log:") > 0, F.substr(text, F.instr(text, "Call log:")))
     null_output = (strip(out) == "") | (out.contains("null") & out.contains(RETURN_MARKER))
-    return (
-        F.when(contract & silent & F.coalesce(exit_code == 0, F.lit(True)), "G")
-        .when(has_any(text, PARSE_ERRORS, "m"), "A")
-        .when(has_any(text, TIME_LIMIT), "F2")
-        .when(code(KILLED_CODES) | has_any(text, INFRASTRUCTURE), "F3")
-        .when(code(CRASH_CODES) | has_any(text, CRASHES), "F1")
-        .when(has(text, NET_ERROR) | F.coalesce(timed_out.isin(*NAVIGATION), F.lit(False)), "C")
-        .when(has_any(text, PAGE_STATE) | (timed_out.isNotNull() & has_any(log, CALL_LOG_STATE)), "E")
-        .when(timed_out.isNotNull(), "D")
-        .when(has_any(text, NO_OUTPUT) | (F.coalesce(exit_code == 0, F.lit(False)) & (strip(text) == "") & null_output), "B")
-        .when(contract & silent, "G")
-        .otherwise("B")
-    )
+
+    def decided(s: Column) -> Column:
+        text, silent, timed_out = s["text"], s["silent"], s["timed_out"]
+        log = F.when(F.instr(text, "Call log:") > 0, F.substr(text, F.instr(text, "Call log:")))
+        return (
+            F.when(contract & silent & F.coalesce(exit_code == 0, F.lit(True)), "G")
+            .when(has_any(text, PARSE_ERRORS, "m"), "A")
+            .when(has_any(text, TIME_LIMIT), "F2")
+            .when(code(KILLED_CODES) | has_any(text, INFRASTRUCTURE), "F3")
+            .when(code(CRASH_CODES) | has_any(text, CRASHES), "F1")
+            .when(has(text, NET_ERROR) | F.coalesce(timed_out.isin(*NAVIGATION), F.lit(False)), "C")
+            .when(has_any(text, PAGE_STATE) | (timed_out.isNotNull() & has_any(log, CALL_LOG_STATE)), "E")
+            .when(timed_out.isNotNull(), "D")
+            .when(has_any(text, NO_OUTPUT) | (F.coalesce(exit_code == 0, F.lit(False)) & (strip(text) == "") & null_output), "B")
+            .when(contract & silent, "G")
+            .otherwise("B")
+        )
+
+    text = strip_route_wrapper(raw)
+    timed_out = F.when(F.contains(text, F.lit("Timeout")), grab(text, TIMEOUT))
+    return let(F.struct(text.alias("text"), (strip(raw) == "").alias("silent"), timed_out.alias("timed_out")), decided)
 
 
 def selector_of(text: Column) -> Column:

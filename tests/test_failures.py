@@ -107,3 +107,11 @@ def test_diagnose(spark):
     assert (got[3].action, got[3].category, got[3].n_attempts) == ("regenerate", "A", 1)
     assert (got[4].category, got[4].n_attempts) == ("A", 2)
     assert (got[5].action, got[5].stability, got[5].e_eligible, got[5].exception) == ("raise", "mixed", False, "timeout")
+
+
+def test_words_don_t_change_what_is_found(spark):
+    phrases = ["<INPUT type='PASSWORD'", "<title>Log In</title><form>", "Under  Maintenance", "we'll be back", "we’ll be right back", "We will be back", "temporarily unavailable", "scheduled downtime", "scheduled maintenance", "be right back", "experiencing difficulties", "under construction", "<title>x coming soon</title>", "<h1 a=b>coming soon</h1>", "too many requests", "rate limit", "you're browsing too fast", "slow down and wait", "<meta http-equiv='refresh'> moment", "not available in your area", "geo restricted", "regional restriction", "blocked in your country", "not accessible from your location", "account has been banned", "IP blocked", "address has been banned", "ſomething went wrong", "maıntenance mode", "nothing"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(phrases)], "i int, c string")
+    plain = F.coalesce(*[F.when(pages.has(F.col("c"), p, "i") & (pages.has(F.col("c"), x, "i") if x else F.lit(True)), F.lit(label)) for _, label, p, x in pages.NON_CONTENT])
+    got = df.select("i", pages.detect_non_content(F.col("c"))["pattern"].alias("got"), plain.alias("want")).collect()
+    assert [tuple(r) for r in got if r.got != r.want] == [] and sum(r.got is not None for r in got) == len(phrases) - 1
