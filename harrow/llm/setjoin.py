@@ -1,7 +1,8 @@
 """Jaccard join of n-gram sets with prefix trees, and the classes of linked documents.
 
 1. Sets are hashed n-grams in one global order (by hash). Of each set's beginning, the n-grams are dealt by hash and
-   those found in one document only are counted out. A document with too few others cannot have a partner and is done.
+   those found in one document only are counted out. A document with fewer others than any possible partner would show
+   cannot have a partner and is done.
 2. The rest are merged by equal sets. Sets of like size are cut by hash into more slices than two partners can differ
    in, so partners have a number of equal slices. Slices of few n-grams, and those that very many sets share, are left
    out wherever fewer of a set's slices are such than must be equal. Sets that share a slice, can agree in size and
@@ -15,6 +16,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,19 @@ def looked_at(n: int, num: int, den: int) -> int:
     return min(n, 2 * lack + 1)
 
 
+@functools.lru_cache(1 << 16)
+def needed(n: int, num: int, den: int) -> int:
+    """How many of the n-grams looked at a set of n shares, at least, with those looked at of any partner.
+
+    Of two partners with o n-grams in common, the t-th common one has at most t + n - o n-grams before it in the one set
+    and t + m - o in the other; those for which both numbers are looked at count. As a partner lacks no more than
+    looked_at allows for, that is one or more for each size."""
+    m = np.arange(-(-num * n // den), den * n // num + 1)
+    both = -(-num * (n + m) // (num + den))
+    shown = np.minimum(m, 2 * (m + -num * m // den) + 1)
+    return int(np.minimum(np.minimum(looked_at(n, num, den) - n, shown - m) + both, both).min())
+
+
 def signature(tokens: np.ndarray) -> int:
     """A signed 64-bit name of a set; 0 for the empty one."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else 0
@@ -145,7 +160,7 @@ def join_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """(doc_id, n, sig, found) of every row: its set's size and signature, and how many of the n-grams looked at are in other rows too."""
+    """(doc_id, n, sig, near) of every row: its set's size and signature, and whether enough of the n-grams looked at are in other rows too."""
     dealt_schema = "part long, batch long, ids array<long>, n array<int>, sig array<long>, found array<int>, owner binary, once binary, many binary"
     names = ["part", "batch", "ids", "n", "sig", "found", "owner", "once", "many"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
@@ -190,11 +205,12 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
         head = t.filter(pa.compute.is_valid(t.column("ids"))).to_pylist()[0]
         owner, _ = joined(t.column("owner"), "<u2")
         found = np.array(head["found"], np.int64) + np.bincount(owner, minlength=len(head["n"]))
-        return pa.table([pa.array(head["ids"], pa.int64()), pa.array(head["n"], pa.int32()), pa.array(head["sig"], pa.int64()), pa.array(found, pa.int32())], names=["doc_id", "n", "sig", "found"])
+        near = [n > 0 and hits >= needed(n, num, den) for n, hits in zip(head["n"], found.tolist())]
+        return pa.table([pa.array(head["ids"], pa.int64()), pa.array(head["n"], pa.int32()), pa.array(head["sig"], pa.int64()), pa.array(near, pa.bool_())], names=["doc_id", "n", "sig", "near"])
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, dealt_schema)
     counted = dealt.groupBy("part").applyInArrow(count, "batch long, ids array<long>, n array<int>, sig array<long>, found array<int>, owner binary")
-    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, n int, sig long, found int")
+    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, n int, sig long, near boolean")
 
 
 def size_bounds(num: int, den: int, top: int) -> list[int]:
@@ -389,9 +405,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
     num, den = similarity
     parts = parts_for(docs, PART_BYTES)
     scanned = settle(_scan(docs, k, num, den, parts))
-    lack = f"(n - ({num}L * n + {den - 1}) div {den})"
-    need = F.expr(f"greatest({lack} + 1, least(n, 2 * {lack} + 1)) - {lack}")
-    left = scanned.where("n > 0 and doc_id is not null").where(F.col("found") >= need)
+    left = scanned.where("near and doc_id is not null")
     classes = settle(left.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

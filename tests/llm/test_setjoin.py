@@ -124,3 +124,22 @@ def test_partners_share_a_slice(num, den):
         assert keys[0] & keys[1]
         apart = setjoin.bits_apart(setjoin.bitmap(x), setjoin.bitmap(y))
         assert apart <= len(x) + len(y) - 2 * both
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5), (1, 2)])
+def test_partners_of_all_sizes_are_looked_at(num, den):
+    """Worst order: what is in one set only comes first in both."""
+    for n in range(1, 400):
+        for m in range(-(-num * n // den), n + 1):
+            both = -(-num * (n + m) // (num + den))
+            hits = min(setjoin.looked_at(n, num, den) - (n - both), setjoin.looked_at(m, num, den) - (m - both), both)
+            assert hits >= max(1, setjoin.needed(n, num, den), setjoin.needed(m, num, den)), (n, m)
+
+
+@pytest.mark.parametrize("words,k,sim", [(9, 4, (85, 100)), (8, 5, (4, 5))])
+def test_one_word_more_at_an_end(spark, words, k, sim):
+    text = [f"w{i}" for i in range(words)]
+    for longer in ([*text, "more"], ["more", *text]):
+        rows = [(1, " ".join(text)), (2, " ".join(longer)), (3, "quite another text than those two are here now")]
+        got = setjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), k, sim)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, *sim)
