@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ class Settings:
     l1: float = 1.0
     l2: float = 1.0
     epochs: int = 3
-    max_rows: int = 8000  # labelled rows that a fit uses at most: those with the smallest hash of doc_id
+    max_rows: int = 8000  # labelled documents that a fit uses at most: those with the smallest hash of doc_id
     counterfactual: float = 0.0  # weight of the squared change of score under a swap
     identity_terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
 
@@ -116,6 +117,11 @@ def swapped(tokens: list[str], groups: tuple[tuple[str, ...], ...], rng: random.
     return [rng.choice([x for x in group_of[t] if x != t]) if t in group_of else t for t in tokens]
 
 
+def _own_random(text: str | None) -> random.Random:
+    """Random numbers that depend on the text alone, wherever and with whatever other texts it is read."""
+    return random.Random(xxhash.xxh3_64_intdigest((text or "").encode()))
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], settings: Settings, seed: int = 7) -> np.ndarray:
     """Weights (bias last) from (features, features of the swapped text or None, label). Without rows all are zero."""
     model, rng, bias = Ftrl(settings), random.Random(seed), 1 << settings.bits
@@ -143,17 +149,21 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> np.ndarray:
-    """Fit on at most max_rows labelled rows outside the held-out fold. The sample's ids are broadcast: their number is
-    bounded. Only hashed features of the sample reach the driver. Labels other than 0 and 1 are ignored."""
-    sample = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    sample = sample.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """Fit on at most max_rows labelled documents outside the held-out fold. The sample's ids are broadcast: their
+    number is bounded. Only hashed features of the sample reach the driver, one row an id.
+
+    Labels other than 0 and 1 are ignored, and so are ids that are labelled both; of several texts of one id, the one
+    whose features are least in byte order counts. The result depends on neither order nor partitions of the rows."""
+    sample = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    sample = sample.agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("most")).where("label = most").drop("most")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, budget=2 << 20):
-            texts = [tokens_of(t) for t in batch.column(1).to_pylist()]
-            rng = random.Random(len(texts))
-            other = [swapped(t, settings.identity_terms, rng) if settings.counterfactual else None for t in texts]
+            raw = batch.column(1).to_pylist()
+            texts = [tokens_of(t) for t in raw]
+            other = [swapped(t, settings.identity_terms, _own_random(r)) if settings.counterfactual else None for t, r in zip(texts, raw)]
             x, xo = featurise(texts, settings)
             y, yo = featurise([t or [] for t in other], settings)
             cut = lambda v, o, i: v[o[i] : o[i + 1]].astype(np.uint32).tobytes()
@@ -163,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) ->
                 names=["doc_id", "x", "y", "label"],
             )
 
-    rows = chosen.mapInArrow(run, "doc_id long, x binary, y binary, label int").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    features = chosen.mapInArrow(run, "doc_id long, x binary, y binary, label int")
+    rows = features.groupBy("doc_id").agg(F.min(F.struct("x", "y", "label")).alias("row")).select("doc_id", "row.*").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["doc_id"])
     as_ids = lambda b: None if b is None else np.frombuffer(b, np.uint32)
-    return fit([(as_ids(r["x"]), as_ids(r["y"]), r["label"]) for r in rows[: 2 * settings.max_rows]], settings)
+    return fit([(as_ids(r["x"]), as_ids(r["y"]), r["label"]) for r in rows], settings)
 
 
 def _probabilities(texts: pa.Array, w: np.ndarray, settings: Settings) -> np.ndarray:
@@ -208,10 +219,11 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float, settings: S
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, budget=2 << 20):
+        for batch in slices(batches, f"c{at}", 2 << 20):
             yield batch.filter(pa.array(_probabilities(batch.column(at), shared.value, settings) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 QUALITY = Settings()

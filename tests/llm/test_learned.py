@@ -1,5 +1,7 @@
 """Classifiers: held-out accuracy on planted signals, odd input; exact search against brute force."""
 
+import dataclasses
+import math
 import random
 import zlib
 
@@ -39,6 +41,70 @@ def test_learns_what_is_labelled(spark, name):
     assert {r.score for r in run(docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("name", ["quality", "toxic"])
+def test_scores_do_not_depend_on_partitions(spark, name):
+    """Equal scores over 1 and 7 partitions, with repeated rows, and ids that are labelled both ways left out."""
+    docs, labels = corpus(spark, 200)
+    docs, labels = docs.cache(), labels.cache()
+    run = linear.quality_scores if name == "quality" else linear.toxicity_scores
+    settings = dataclasses.replace(linear.TOXICITY, max_rows=100)
+    want = {r.doc_id: r.score for r in run(docs.coalesce(1), labels.coalesce(1), settings).collect()}
+    twice = docs.union(docs).repartition(7)
+    both = labels.union(labels).union(labels.sparkSession.createDataFrame([(900, 0, 0, 0.0), (900, 1, 1, 0.0)], labels.schema)).repartition(5)
+    got = run(twice.union(docs.sparkSession.createDataFrame([(900, "of the blargh", "x")], docs.schema)), both, settings).collect()
+    assert {r.doc_id: r.score for r in got if r.doc_id != 900} == want and len(got) == 2 * docs.count() + 1
+
+
+def plain_ftrl(rows, s, seed=7):
+    """Per-coordinate updates on dicts, one number at a time."""
+    z, n, rng, rows = {}, {}, random.Random(seed), list(rows)
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= s.l1 else -(zi - math.copysign(s.l1, zi)) / ((s.beta + math.sqrt(n.get(i, 0.0))) / s.alpha + s.l2)
+
+    def update(i, g, w):
+        z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha * w
+        n[i] = n.get(i, 0.0) + g * g
+
+    for _ in range(s.epochs):
+        rng.shuffle(rows)
+        for x, y, label in rows:
+            own = [*x, "bias"]
+            w = {i: weight(i) for i in own}
+            p = 1 / (1 + math.exp(-sum(w.values())))
+            for i in own:
+                update(i, p - label, w[i])
+            if y is not None and s.counterfactual:
+                a, b = [i for i in x if i not in set(y)], [i for i in y if i not in set(x)]
+                wa, wb = {i: weight(i) for i in a}, {i: weight(i) for i in b}
+                pull = s.counterfactual * (sum(wa.values()) - sum(wb.values()))
+                for i in a:
+                    update(i, pull, wa[i])
+                for i in b:
+                    update(i, -pull, wb[i])
+    return {i: weight(i) for i in z}
+
+
+@pytest.mark.parametrize("settings", [linear.Settings(l1=0.05), linear.Settings(l1=0.05, ngrams=1, stems=(3, 4), counterfactual=0.5)])
+def test_fit_and_scores_match_a_plain_version(spark, settings):
+    rng, texts = random.Random(9), []
+    for _ in range(120):
+        texts.append(" ".join(rng.choice("a woman man of grim the black white x1 y2 stone, river!".split()) for _ in range(rng.randrange(1, 15))))
+    docs = [linear.tokens_of(t) for t in texts]
+    other = [linear.swapped(d, settings.identity_terms, rng) if settings.counterfactual else None for d in docs]
+    assert any(o for o in other) or not settings.counterfactual
+    one = lambda t: linear.featurise([t], settings)[0]
+    rows = [(one(d), None if o is None else one(o), int("grim" in d)) for d, o in zip(docs, other)]
+    w = linear.fit(rows, settings)
+    plain = plain_ftrl([(x.tolist(), None if y is None else y.tolist(), label) for x, y, label in rows], settings)
+    assert abs(w[-1] - plain["bias"]) < 1e-5 and all(abs(w[i] - v) < 1e-5 for i, v in plain.items() if i != "bias")
+    assert np.count_nonzero(w) == sum(abs(v) > 0 for v in plain.values())
+    got = {r.doc_id: r.score for r in linear.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), w, 0.5, settings).collect()}
+    for i, (x, _, _) in enumerate(rows):
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(plain.get(f, 0.0) for f in {*x.tolist(), "bias"})))) < 1e-4
+
+
 def test_counterfactual_term_narrows_the_gap():
     rng = random.Random(1)
     rows = []
