@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import MIX, deal, joined, mix, parts_for, settle, shingle_sequence, slices, words_of
+from harrow.llm.common import MIX, deal, free_name, joined, mix, parts_for, settle, shingle_sequence, slices, words_of
 from harrow.llm.components import UnionFind, components
 
 #: Scanned bytes of a part and n-grams of a tile.
@@ -160,10 +160,13 @@ def join_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """(doc_id, n, sig, near) of every row: its set's size and signature, and whether enough of the n-grams looked at are in other rows too."""
-    dealt_schema = "part long, batch long, ids array<long>, n array<int>, sig array<long>, found array<int>, owner binary, once binary, many binary"
-    names = ["part", "batch", "ids", "n", "sig", "found", "owner", "once", "many"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    """(doc_id, text_hash, n, sig, near) of every row: its text's xxhash64, its set's size and signature, and whether enough
+    of the n-grams looked at are in other rows too."""
+    of_rows = {"ids": pa.int64(), "texts": pa.int64(), "n": pa.int32(), "sig": pa.int64(), "found": pa.int32()}
+    names = ["part", "batch", *of_rows, "owner", "once", "many"]
+    types = [pa.int64(), pa.int64(), *(pa.list_(t) for t in of_rows.values()), pa.binary(), pa.binary(), pa.binary()]
+    kept_schema = "batch long, ids array<long>, texts array<long>, n array<int>, sig array<long>, found array<int>, owner binary"
+    dealt_schema = f"part long, {kept_schema}, once binary, many binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
@@ -175,12 +178,12 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
             uniq, first, inverse, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
             again = counts > 1  # met twice here already: sent once, whatever the number
             found = np.bincount(owner[again[inverse]], minlength=len(sets)).astype(int) if len(tokens) else np.zeros(len(sets), int)
-            rows = [(at % parts, at, batch.column(0).to_pylist(), [len(s) for s in sets], [signature(s) for s in sets], found.tolist(), None, None, None)]
+            rows = [(at % parts, at, batch.column(0).to_pylist(), batch.column(2).to_pylist(), [len(s) for s in sets], [signature(s) for s in sets], found.tolist(), None, None, None)]
             once = ~again
             for part, (own, sent) in deal(uniq[once], parts, owner[first[once]], uniq[once]):
-                rows.append((part, at, None, None, None, None, own, sent, None))
+                rows.append((part, at, *[None] * 5, own, sent, None))
             for part, (sent,) in deal(uniq[again], parts, uniq[again]):
-                rows.append((part, at, None, None, None, None, None, None, sent))
+                rows.append((part, at, *[None] * 7, sent))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
             at += 1
 
@@ -191,14 +194,14 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
         uniq, inverse, counts = np.unique(np.concatenate([once, np.unique(many), np.unique(many)]), return_inverse=True, return_counts=True)
         hit = (counts > 1)[inverse[: len(once)]]
         row, owner = row[hit], owner[hit]
-        kept = t.filter(pa.compute.is_valid(t.column("ids"))).select(["batch", "ids", "n", "sig", "found"])
+        kept = t.filter(pa.compute.is_valid(t.column("ids"))).select(["batch", *of_rows])
         kept = kept.append_column("owner", pa.nulls(len(kept), pa.binary()))
         batch = t.column("batch").to_numpy()
         ends = np.flatnonzero(np.diff(row, append=-1)) + 1
         own, starts = [], [0, *ends[:-1].tolist()]
         for start, end in zip(starts, ends.tolist()):
             own.append((int(batch[row[start]]), owner[start:end].tobytes()))
-        sent = pa.table([pa.array([o[0] for o in own], pa.int64()), *(pa.nulls(len(own), kept.schema.field(c).type) for c in ("ids", "n", "sig", "found")), pa.array([o[1] for o in own], pa.binary())], schema=kept.schema)
+        sent = pa.table([pa.array([o[0] for o in own], pa.int64()), *(pa.nulls(len(own), kept.schema.field(c).type) for c in of_rows), pa.array([o[1] for o in own], pa.binary())], schema=kept.schema)
         return pa.concat_tables([kept, sent])
 
     def gather(t: pa.Table) -> pa.Table:
@@ -206,11 +209,11 @@ def _scan(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
         owner, _ = joined(t.column("owner"), "<u2")
         found = np.array(head["found"], np.int64) + np.bincount(owner, minlength=len(head["n"]))
         near = [n > 0 and hits >= needed(n, num, den) for n, hits in zip(head["n"], found.tolist())]
-        return pa.table([pa.array(head["ids"], pa.int64()), pa.array(head["n"], pa.int32()), pa.array(head["sig"], pa.int64()), pa.array(near, pa.bool_())], names=["doc_id", "n", "sig", "near"])
+        return pa.table([*(pa.array(head[c], of_rows[c]) for c in ("ids", "texts", "n", "sig")), pa.array(near, pa.bool_())], names=["doc_id", "text_hash", "n", "sig", "near"])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, dealt_schema)
-    counted = dealt.groupBy("part").applyInArrow(count, "batch long, ids array<long>, n array<int>, sig array<long>, found array<int>, owner binary")
-    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, n int, sig long, near boolean")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, dealt_schema)
+    counted = dealt.groupBy("part").applyInArrow(count, kept_schema)
+    return counted.groupBy("batch").applyInArrow(gather, "doc_id long, text_hash long, n int, sig long, near boolean")
 
 
 def size_bounds(num: int, den: int, top: int) -> list[int]:
@@ -224,9 +227,11 @@ def size_bounds(num: int, den: int, top: int) -> list[int]:
 def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den: int) -> tuple[np.ndarray, int]:
     """Keys of a set's slices among the sets of size class ``level`` and the next, and how many of them may be common.
 
-    Partners there differ in ``most`` n-grams at most, so they have spare = slices - most equal slices or more. If
-    fewer than spare of a set's slices are small or common, an equal one is neither. Small ones are left out where that
-    may be, else all are shown; the second result is the number of common ones below which a set is safe."""
+    Partners there differ in ``most`` n-grams at most, so they have spare = slices - most equal slices or more. Small
+    slices are left out as long as over a third of spare equal ones must be left; else all are shown. Of two partners,
+    the one that leaves out more shows over spare // 3 equal slices, which the other shows too. If one of them has no
+    more than spare // 3 common slices, an equal one isn't common; so that is the number (second result: one more) from
+    which on a set is unsafe, the same for all sets of a level: partners without a telling slice are both unsafe."""
     most = (bounds[level + 1] + bounds[level + 2] - 2) * (den - num) // (den + num)
     spare = max(1, most // 2)
     slices_ = most + spare
@@ -237,13 +242,12 @@ def slice_keys(tokens: np.ndarray, level: int, bounds: list[int], num: int, den:
     np.add.at(sums, at, mix(mixed + MIX[3]))
     for least in range(TELLING, 0, -1):
         shown = sizes >= least
-        margin = spare - slices_ + int(shown.sum())
-        if margin > spare // 3:
+        if spare - slices_ + int(shown.sum()) > spare // 3:
             break
     else:
-        shown, margin = np.ones(slices_, bool), spare
+        shown = np.ones(slices_, bool)
     q = np.flatnonzero(shown).astype(np.uint64)
-    return mix(sums[shown] * MIX[0] + q * MIX[1] + mix(np.array([level], np.uint64))), margin
+    return mix(sums[shown] * MIX[0] + q * MIX[1] + mix(np.array([level], np.uint64))), spare // 3 + 1
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -393,14 +397,16 @@ def _blocks(sets: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     return both.mapInArrow(close, "u long, v long").union(_common(hot, num, den, parts))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), keep_signature: bool = False) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), keep_class: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text): n_shingles and component_id, the smallest doc_id reachable by links.
 
     Two documents link when the Jaccard similarity of their k-word shingle sets is at least num / den. Null and blank
     texts have no shingles and link with nothing; repeated rows and equal sets are one class; rows that share an id but
     not a text are classed each by its text; a null doc_id has a null component and takes no part; other columns are
-    ignored. Nothing is sampled: the result is exact but for collisions
-    of 64-bit hashes.
+    ignored. Nothing is sampled: the result is exact but for collisions of 64-bit hashes.
+
+    With keep_class, also text_hash (xxhash64 of the text) and class_sig, a name of the class: where ids have several
+    texts, classes may have the same component_id.
     """
     num, den = similarity
     parts = parts_for(docs, PART_BYTES)
@@ -452,8 +458,29 @@ def jaccard_classes(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (
     else:
         linked = settle(linked_in(small)).toDF("sig", "root")
     rooted = classes.join(linked, "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("sig", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("sig", "component", "root")
     out = scanned.join(named, "sig", "left")
     final = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     columns = [F.col("doc_id"), F.col("n").cast("long").alias("n_shingles"), final.alias("component_id")]
-    return out.select(*columns, "sig") if keep_signature else out.select(*columns)
+    return out.select(*columns, "text_hash", F.coalesce("root", "sig").alias("class_sig")) if keep_class else out.select(*columns)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """docs with one row left of each class of near copies, that of the smallest doc_id, then of the least hash of its text.
+
+    Texts without shingles are in no class, and rows without doc_id take no part: all of them stay. Rows are dropped by id
+    and text, so that a row whose id also stands for another text stays or goes by its own. Columns of any name are kept.
+    """
+    classes = jaccard_classes(docs, k, similarity, keep_class=True).where("n_shingles > 0 and doc_id is not null").select("doc_id", "component_id", "text_hash", "class_sig")
+    classes = settle(classes)
+    own, text = (free_name(n, docs.columns) for n in ("own_id", "own_hash"))
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(text, F.xxhash64("text"))
+    named = lambda df: df.select(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).distinct()
+    kept = keyed.join(named(classes.where("doc_id <> component_id")), [own, text], "left_anti")
+    first = classes.where("doc_id = component_id")
+    several = first.groupBy("doc_id", "class_sig").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")).where("n > 1")
+    if several.limit(1).count():
+        of_one = named(first.join(several.select("doc_id", "class_sig"), ["doc_id", "class_sig"], "left_semi"))
+        one = kept.join(named(several), [own, text], "left_semi").dropDuplicates([own, text])
+        kept = kept.join(of_one, [own, text], "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,6 +66,22 @@ def test_classes_match_brute_force(spark, monkeypatch, seed, k, sim):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, *sim)
 
 
+@pytest.mark.parametrize("seed,k,sim", [(6, 4, (85, 100)), (7, 5, (4, 5))])
+def test_partners_whose_slices_are_common(spark, monkeypatch, seed, k, sim):
+    """Sets of 24 n-grams and more that differ in one or two; with the bound at 1 each shared slice is common."""
+    monkeypatch.setattr(setjoin, "COMMON", 1)
+    rng, rows = random.Random(seed), []
+    for i in range(60):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(24, 60))]
+        for j in range(rng.choice([2, 2, 40]) if i % 20 == 0 else 2):
+            more = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(3))]
+            rows.append((len(rows), " ".join(words + more if j % 2 else more + words)))
+    rows.append((len(rows), " ".join(f"z{i}" for i in range(60_000))))
+    rows.append((len(rows), " ".join(f"z{i}" for i in range(62_000))))
+    got = setjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, sim)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, *sim)
+
+
 def test_no_rows(spark):
     assert setjoin.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in setjoin.jaccard_classes(spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")).collect()] == [(4, 3, 4)]
@@ -122,6 +138,10 @@ def test_partners_share_a_slice(num, den):
             level = int(np.searchsorted(bounds, len(s), "right")) - 1
             keys.append({k for at in (level, level - 1) if at >= 0 for k in setjoin.slice_keys(s, at, bounds, num, den)[0].tolist()})
         assert keys[0] & keys[1]
+        at = int(np.searchsorted(bounds, min(len(x), len(y)), "right")) - 1  # the level both show themselves at
+        (of_x, unsafe), (of_y, same) = (setjoin.slice_keys(s, at, bounds, num, den) for s in (x, y))
+        # whichever of the shared slices are common: either set is safe, and one isn't, or both are unsafe and meet there
+        assert unsafe == same and len(set(of_x.tolist()) & set(of_y.tolist())) >= unsafe
         apart = setjoin.bits_apart(setjoin.bitmap(x), setjoin.bitmap(y))
         assert apart <= len(x) + len(y) - 2 * both
 
@@ -143,3 +163,18 @@ def test_one_word_more_at_an_end(spark, words, k, sim):
         rows = [(1, " ".join(text)), (2, " ".join(longer)), (3, "quite another text than those two are here now")]
         got = setjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), k, sim)
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, *sim)
+
+
+def test_one_of_each_by_id_and_text(spark):
+    """Rows that share an id, but not a text, stay or go by their own text; of repeated rows one stays."""
+    plain = " ".join(f"w{i}" for i in range(40))
+    rows = [
+        (1, plain, 0), (5, plain + " ", 1), (5, "quite another text than this one is here", 2), (5, "a third text that none of the others is like", 3),
+        (5, "a third text that none of the others is like", 4), (6, "a third text that none of the others is like", 5), (7, None, 6), (7, None, 7), (8, "", 8), (None, plain, 9), (9, "two words", 10), (9, "Two  words", 11),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, text string, own_id int").repartition(3)
+    out = setjoin.one_of_each(df)
+    assert out.columns == df.columns
+    left = sorted(r.own_id for r in out.collect())
+    assert [k for k in left if k not in (3, 4, 10, 11)] == [0, 2, 6, 7, 8, 9] and len([k for k in left if k in (3, 4)]) == 1 == len([k for k in left if k in (10, 11)])
+    assert setjoin.one_of_each(df.limit(0)).count() == 0
