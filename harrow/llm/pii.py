@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import settle
+from harrow.llm.common import let, running, settle
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
 
@@ -53,17 +53,19 @@ LABELERS = ("format", "listed", "context", "against", "variety", "edges")
 def _spans(text: Column, pattern: str) -> Column:
     """Matches with their code-point bounds and neighbourhood: array<struct<m, start, end, before, after>>."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    row = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h"))
     none = F.from_json(F.lit("[]"), "array<struct<m:string,start:int,end:int,before:string,after:string>>")
-    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
 
-    def step(state: Column, r: Column) -> Column:
-        at = state["pos"] + F.length(r["g"])
-        end = at + F.length(r["m"])
-        one = F.struct(r["m"].alias("m"), at.alias("start"), end.alias("end"), F.right(r["g"], F.lit(40)).alias("before"), F.left(r["h"], F.lit(1)).alias("after"))
-        return F.struct(end.alias("pos"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: F.length(r["g"]) + F.length(r["m"])), lambda a, b: a + b)
+        return F.zip_with(
+            rows, ends, lambda r, end: F.struct(r["m"].alias("m"), (end - F.length(r["m"])).alias("start"), end.alias("end"), F.right(r["g"], F.lit(40)).alias("before"), F.left(r["h"], F.lit(1)).alias("after"))
+        )
+
+    def rows(found: Column) -> Column:
+        each = lambda gaps: F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h"))
+        return F.when(F.size(found) > 0, let(let(gaps, each), placed)).otherwise(none)
 
-    return F.when(F.size(found) > 0, F.aggregate(row, start, step, lambda s: s["out"])).otherwise(none)
+    return let(found, rows)
 
 
 def _digits(m: Column) -> Column:
@@ -98,6 +100,22 @@ def _features(kind: Column, m: Column, before: Column, after: Column) -> list[Co
     return [kind, F.concat_ws(" ", kind, F.least(F.length(m), F.lit(30)).cast("string")), F.concat_ws(" ", kind, F.floor(share).cast("string")), F.when(before.rlike(WORDS_FOR), "for").when(before.rlike(WORDS_AGAINST), "against").otherwise("none"), F.when(before == "", "start").when(before.rlike(r"\s$"), "space").otherwise("other")]
 
 
+def _outside(found: Column) -> Column:
+    """The base spans, and those others of a known kind that overlap with none of them, ordered by what they are placed by.
+
+    A span is placed by its start if it is base, else by its end, before base spans that begin there: those before it
+    begin before its end, so it overlaps with one of them if the largest of their ends is past its start."""
+    known = F.filter(found, lambda s: s["base"] | s["kind"].isNotNull())
+    keyed = F.array_sort(F.transform(known, lambda s: F.struct(F.when(s["base"], s["start"]).otherwise(s["end"]).alias("at"), s["base"].cast("int").alias("late"), s.alias("s"))))
+
+    def free(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda r: F.when(r["late"] == 1, r["s"]["end"]).otherwise(-1)), F.greatest, -1)
+        kept = F.filter(F.arrays_zip(spans.alias("r"), reach.alias("reach")), lambda x: (x["r"]["late"] == 1) | (x["reach"] <= x["r"]["s"]["start"]))
+        return F.transform(kept, lambda x: x["r"]["s"])
+
+    return F.when(F.exists(known, lambda s: ~s["base"]) & F.exists(known, lambda s: s["base"]), let(keyed, free)).otherwise(known)
+
+
 def _candidates(text: Column) -> Column:
     """Every base match and every loose candidate outside them, with votes and features; null if there is none."""
     every = []
@@ -112,9 +130,8 @@ def _candidates(text: Column) -> Column:
     found = F.concat(*[F.coalesce(e, empty) for e in every])
 
     def described(found: Column) -> Column:
-        fits = lambda s: s["base"] | s["kind"].isNotNull() & ~F.exists(found, lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return F.transform(
-            F.filter(found, fits),
+            found,
             lambda s: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"),
                 F.concat_ws(",", F.array(*_votes(s["kind"], s["m"], s["before"], s["after"], s["base"])).cast("array<string>")).alias("votes"),
@@ -122,8 +139,7 @@ def _candidates(text: Column) -> Column:
             ),
         )
 
-    # a one-element array names the found spans, so that they are computed once
-    return F.element_at(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, described(x))), 1)
+    return let(found, lambda x: F.when(F.size(x) > 0, described(_outside(x))))
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]]]:
@@ -199,16 +215,27 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS[:4]], digest.alias("base_sha256"), said(F.col("spans")).alias("spans"), F.col("spans").alias("span_list"))
 
 
+#: Code points of a block of text: a piece is cut from the blocks it lies in, as cutting reads a string from its start.
+BLOCK = 4096
+
+
 def _replace(text: Column, spans: Column) -> Column:
     """text with the ordered spans replaced by [KIND]; what a span overlaps with the one before goes with that one."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(blocks: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / BLOCK).cast("int")
+        own = F.slice(blocks, first + 1, F.floor(F.greatest(end - 1, begin) / BLOCK).cast("int") - first + 1)
+        return F.substr(F.array_join(own, ""), begin - first * BLOCK + 1, end - begin)
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["pos"]
-        shown = F.concat(state["out"], F.substr(text, state["pos"] + 1, s["start"] - state["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), F.when(fresh, shown).otherwise(state["out"]).alias("out"))
+    def shown(spans: Column, reach: Column, blocks: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(spans) - 1))
+        fresh = F.filter(F.arrays_zip(spans.alias("s"), before.alias("at")), lambda x: x["s"]["start"] >= x["at"])
+        parts = F.transform(fresh, lambda x: F.concat(piece(blocks, x["at"], x["s"]["start"]), F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), piece(blocks, F.element_at(reach, -1), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda x: F.concat(x["out"], F.substr(text, x["pos"] + 1)))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return let(blocks, lambda b: let(ends, lambda reach: shown(spans, reach, b)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -218,5 +245,5 @@ def redacted(docs: DataFrame) -> DataFrame:
     are. The text is scanned twice, to learn and to replace; nothing but pattern counts is shuffled."""
     found = _candidates(F.coalesce("text", F.lit("")))
     weights, bias = train(docs.select(found.alias("spans")))
-    text = F.element_at(F.transform(F.array(_decided(found, weights, bias)), lambda s: F.when(F.size(s) > 0, _replace(F.col("text"), s)).otherwise(F.col("text"))), 1)
+    text = let(_decided(found, weights, bias), lambda s: F.when(F.size(s) > 0, _replace(F.col("text"), s)).otherwise(F.col("text")))
     return docs.withColumn("text", text)

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from harrow.llm import pii
 
@@ -72,6 +74,35 @@ def test_votes_add_spans_and_redact(spark):
     assert text[240] is None and text[241] == "nothing here" and text[120] == rows[120][1]
 
 
+def test_many_spans_take_linear_time(spark):
+    """Texts of 50,000 spans; overlapping kinds; a replaced text of many blocks."""
+    mails = " ".join(f"user{i}@mail{i}.org" for i in range(50_000))
+    mixed = " ".join(f"call (415) 555-{i % 10000:04d} or +1 415 555 {i % 10000:04d} at 10.0.{i % 256}.1" for i in range(17_000))
+    df = spark.createDataFrame([(1, mails), (2, mixed), (3, "no " * 50_000)], "doc_id long, text string")
+    began = time.monotonic()
+    rows = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    text = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert time.monotonic() - began < 60
+    for i, t in ((1, mails), (2, mixed)):
+        counts, digest = brute(t)
+        assert ([rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone], rows[i].base_sha256) == (counts, digest)
+    assert text[1] == " ".join(["[EMAIL]"] * 50_000) and text[3] == "no " * 50_000
+    assert text[2].startswith("call [PHONE] or [PHONE] at [IP] call") and text[2].count("[IP]") == 17_000
+
+
+def test_added_spans_lie_outside_base_ones(spark):
+    """Added spans against a plain search: loose matches that overlap with no base span, of which the classifier keeps some."""
+    rng = random.Random(3)
+    bits = ["a@b.com", "+1 415 555 0134", "(415) 555-0134", "123-45-6789", "10.1.1.1", "Dr. Mary Smith", "x", "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "415.555.0134", "jane [at] mail [dot] com"]
+    texts = [rng.choice(["", " ", ", "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", pii._candidates(F.col("text")).alias("c"))
+    loose = re.compile(r"(?<![A-Za-z0-9+(.-])(?:" + "|".join(f"(?:{p.replace('(?i:at)', '[aA][tT]').replace('(?i:dot)', '[dD][oO][tT]')})" for p in pii.LOOSE.values()) + ")")
+    for r in df.collect():
+        base = [(s.start, s.end) for s in r.c or [] if s.base]
+        want = sorted((m.start(), m.end()) for m in loose.finditer(texts[r.doc_id]) if not any(b < m.end() and m.start() < e for b, e in base))
+        assert sorted((s.start, s.end) for s in r.c or [] if not s.base) == want, texts[r.doc_id]
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(empty).count() == 0 and pii.redacted(empty).count() == 0
