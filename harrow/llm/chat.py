@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.common import running
+
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 #: What stands around a turn: <|im_start|>role, a line end, the text, <|im_end|> and a line end.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -28,15 +30,9 @@ def _render(turns: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     """Code-point spans of the rendered turns that are trained on: the assistant's text and its end mark, as start:end, comma-joined."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, t: Column) -> Column:
-        begin = state["pos"] + len(OPEN) + F.length(t["role"]) + 1
-        end = begin + F.length(t["text"]) + len(CLOSE)
-        span = F.concat_ws(":", begin.cast("string"), (end - 1).cast("string"))
-        return F.struct(end.alias("pos"), F.when(t["role"] == "assistant", F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(turns, start, step, lambda s: F.array_join(s["out"], ","))
+    ends = running(F.transform(turns, lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN) + 1 + len(CLOSE)), lambda a, b: a + b)
+    spans = F.zip_with(turns, ends, lambda t, end: F.when(t["role"] == "assistant", F.concat_ws(":", (end - len(CLOSE) - F.length(t["text"])).cast("string"), (end - 1).cast("string"))))
+    return F.array_join(F.array_compact(spans), ",")
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
@@ -56,23 +52,19 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return out.drop("chosen", "rejected")
 
 
-def swapped_answers(conversations: DataFrame) -> DataFrame:
-    """Preference pairs (conv_id, chosen, rejected) from plain conversations, whose own answer is taken to be preferred.
+def branched(conversations: DataFrame) -> DataFrame:
+    """Preference pairs (conv_id, chosen, rejected) from plain conversations, each of which is taken to be preferred.
 
-    Conversations 2n and 2n + 1 are partners. chosen is a conversation up to its last assistant turn; rejected is the
-    same with that turn and the ones after replaced by the partner's last assistant turn. Conversations without an
-    assistant turn, or whose partner has none, give no pair. Partners meet in one group: no join, one shuffle."""
+    Conversations 2n and 2n + 1 are partners. chosen is a whole conversation of m turns; rejected begins like it and goes on
+    like the partner after conv_id modulo m + 1 turns, so that some pairs share nothing and some the whole of chosen. One
+    without a partner is rejected where it would go on. Rows without conv_id are left out; null role and text are empty;
+    turns are ordered by turn, role, text, nulls first. Partners meet in one group: no join, one shuffle."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     row = F.struct(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
     pair = conversations.where("conv_id is not null").groupBy(F.floor(F.col("conv_id") / 2).alias("pair")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     own = lambda odd: F.transform(F.filter("rows", lambda r: r["conv_id"] == F.col("pair") * 2 + odd), lambda r: r["t"])
     both = pair.select("pair", own(0).alias("even"), own(1).alias("odd"))
-    sides = both.select(
-        F.explode(F.array(
-            F.struct((F.col("pair") * 2).alias("conv_id"), F.col("even").alias("own"), F.col("odd").alias("other")),
-            F.struct((F.col("pair") * 2 + 1).alias("conv_id"), F.col("odd").alias("own"), F.col("even").alias("other")),
-        )).alias("s")
-    ).select("s.*")
-    last = lambda side: F.array_max(F.transform(side, lambda t, i: F.when(t["role"] == "assistant", i + 1)))
-    sides = sides.withColumn("at", last(F.col("own"))).withColumn("from", last(F.col("other"))).where("at is not null and `from` is not null")
-    return sides.select("conv_id", F.slice("own", F.lit(1), F.col("at")).alias("chosen"), F.concat(F.slice("own", F.lit(1), F.col("at") - 1), F.slice("other", F.col("from"), F.lit(1))).alias("rejected"))
+    side = lambda odd, mine, other: F.struct((F.col("pair") * 2 + odd).alias("conv_id"), F.col(mine).alias("own"), F.col(other).alias("other"))
+    sides = both.select(F.explode(F.array(side(0, "even", "odd"), side(1, "odd", "even"))).alias("s")).select("s.*").where(F.size("own") > 0)
+    at = F.pmod("conv_id", F.size("own") + 1).cast("int")
+    return sides.select("conv_id", F.col("own").alias("chosen"), F.concat(F.slice("own", F.lit(1), at), F.slice("other", at + 1, F.greatest(F.size("other"), F.lit(0)))).alias("rejected"))

@@ -11,31 +11,39 @@ from harrow.llm.common import table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prompt and two masked completions for every conversation and its partner's answer."""
-    return chat.format_preferences(chat.swapped_answers(table(spark, sf_dir, "conversations")))
+    """A prompt and two masked completions for every conversation and its branch into its partner's turns."""
+    return chat.format_preferences(chat.branched(table(spark, sf_dir, "conversations")))
 
 
 OP1_SQL = """
 WITH t AS (
-  SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
-), l AS (
-  SELECT *, list_max(list_filter(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i END), lambda i: i IS NOT NULL)) AS at FROM t
 ), p AS (
-  SELECT a.conv_id, a.turns[1:a.at] AS chosen, list_concat(a.turns[1:a.at - 1], [b.turns[b.at]]) AS rejected
-  FROM l a JOIN l b ON a.conv_id // 2 = b.conv_id // 2 AND a.conv_id <> b.conv_id WHERE a.at IS NOT NULL AND b.at IS NOT NULL
+  SELECT a.conv_id, a.turns AS c, list_concat(a.turns[1:a.conv_id % (len(a.turns) + 1)], coalesce(b.turns, [])[a.conv_id % (len(a.turns) + 1) + 1:]) AS r
+  FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id + 1 - 2 * (a.conv_id % 2)
+), x AS (
+  SELECT conv_id, c, r, generate_subscripts(c, 1) AS i FROM p
 ), n AS (
-  SELECT *, CASE WHEN chosen[len(chosen)].text = rejected[len(rejected)].text THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM p
-), c AS (
-  SELECT conv_id, n, chosen[1:n] AS prompt, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM n
+  SELECT conv_id, any_value(c) AS c, any_value(r) AS r,
+    coalesce(min(CASE WHEN i > len(r) OR c[i].role <> r[i].role OR c[i].text <> r[i].text THEN i END) - 1, any_value(len(c))) AS n
+  FROM x GROUP BY conv_id
+), u AS (
+  SELECT conv_id, 'p' AS side, unnest(c[1:n]) AS m, generate_subscripts(c[1:n], 1) AS i FROM n
+  UNION ALL SELECT conv_id, 'c', unnest(c[n + 1:]), generate_subscripts(c[n + 1:], 1) FROM n
+  UNION ALL SELECT conv_id, 'r', unnest(r[n + 1:]), generate_subscripts(r[n + 1:], 1) FROM n
+), v AS (
+  SELECT conv_id, side, i, m.role AS role, '<|im_start|>' || m.role || chr(10) || m.text || '<|im_end|>' || chr(10) AS shown FROM u
+), w AS (
+  SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, side ORDER BY i) AS past FROM v
+), g AS (
+  SELECT conv_id, side, string_agg(shown, '' ORDER BY i) AS shown,
+    string_agg(CASE WHEN role = 'assistant' THEN CAST(past - length(shown) + 22 AS BIGINT) || ':' || CAST(past - 1 AS BIGINT) END, ',' ORDER BY i) AS mask
+  FROM w GROUP BY conv_id, side
 )
-SELECT conv_id, CAST(n AS INTEGER) AS n_shared,
-  coalesce(list_aggregate(list_transform(prompt, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS prompt,
-  coalesce(list_aggregate(list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS chosen_text,
-  CASE WHEN len(c) = 0 THEN '' ELSE '22:' || (32 + length(c[1].text)) END AS chosen_mask,
-  coalesce(list_aggregate(list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS rejected_text,
-  CASE WHEN len(r) = 0 THEN '' ELSE '22:' || (32 + length(r[1].text)) END AS rejected_mask
-FROM c
+SELECT n.conv_id, CAST(n AS INTEGER) AS n_shared, coalesce(p.shown, '') AS prompt, coalesce(c.shown, '') AS chosen_text, coalesce(c.mask, '') AS chosen_mask,
+  coalesce(r.shown, '') AS rejected_text, coalesce(r.mask, '') AS rejected_mask
+FROM n LEFT JOIN g p ON p.conv_id = n.conv_id AND p.side = 'p' LEFT JOIN g c ON c.conv_id = n.conv_id AND c.side = 'c' LEFT JOIN g r ON r.conv_id = n.conv_id AND r.side = 'r'
 """
 
 

@@ -44,14 +44,27 @@ def test_formats_match(spark):
         assert (r.n_shared, r.prompt, r.chosen_text, r.chosen_mask, r.rejected_text, r.rejected_mask) == brute(chosen, rejected)
 
 
-def test_swapped_answers(spark):
-    rows = [(0, 1, "assistant", "A0"), (0, 0, "user", "Q0"), (0, 2, "user", "bye"), (1, 0, "user", "Q1"), (1, 1, "assistant", "A1"), (2, 0, "user", "alone"), (3, 0, "assistant", "A3"),
-            (None, 0, "user", "x"), (4, 0, "assistant", None), (5, None, "assistant", "A5"), (5, 1, None, "t"), (7, 0, "assistant", "no partner")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_preferences(chat.swapped_answers(df)).collect()}
-    assert set(got) == {0, 1, 4, 5}
-    assert got[0].n_shared == 1 and got[0].prompt == render([(0, "user", "Q0")])
-    assert got[0].chosen_text == render([(1, "assistant", "A0")]) and got[0].rejected_text == render([(1, "assistant", "A1")])
-    assert got[4].chosen_text == render([(0, "assistant", "")]) and got[4].rejected_text == render([(0, "assistant", "A5")])
-    assert chat.format_preferences(chat.swapped_answers(df.limit(0))).count() == 0
-    assert chat.ordered_turns(df).where("conv_id = 0").first().turns[0] == Row(turn=0, role="user", text="Q0")
+def test_branches(spark):
+    rng, rows = random.Random(4), [(None, 0, "user", "x"), (4, 0, "assistant", None), (5, None, "assistant", "A5"), (5, 1, None, "t"), (5, 1, None, "t"), (7, 0, "assistant", "no partner")]
+    for i in range(20, 80):
+        rows += [(i, k, "user" if k % 2 == 0 else "assistant", rng.choice(["same", f"own {i}"])) for k in range(rng.randrange(7))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    turns = {}
+    for i, *turn in sorted(((i, -1 if k is None else k, r or "", t or "") for i, k, r, t in rows if i is not None)):
+        turns.setdefault(i, []).append(tuple(turn))
+    got = {r.conv_id: r for r in chat.format_preferences(chat.branched(df)).collect()}
+    assert set(got) == set(turns) and len({r.n_shared for r in got.values()}) > 4
+    for i, own in turns.items():
+        at = i % (len(own) + 1)
+        r = got[i]
+        want = brute(own, own[:at] + turns.get(i ^ 1, [])[at:])
+        assert (r.n_shared, r.prompt, r.chosen_text, r.chosen_mask, r.rejected_text, r.rejected_mask) == want
+    assert chat.format_preferences(chat.branched(df.limit(0))).count() == 0
+    assert chat.ordered_turns(df).where("conv_id = 7").first().turns[0] == Row(turn=0, role="assistant", text="no partner")
+
+
+def test_very_long_conversation(spark):
+    """20,000 turns in time that grows like the power 1.5 of their number."""
+    rows = [(0, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(20_000)]
+    r = chat.format_preferences(chat.branched(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert r.chosen_mask == mask([x[1:] for x in rows]) and r.n_shared == 0
