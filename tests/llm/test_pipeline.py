@@ -68,3 +68,21 @@ def test_accepted_agrees_with_scores(spark, folder):
     weights = linear.train(docs, labels, "quality", linear.QUALITY)
     want = sorted(r.doc_id for r in linear.score(docs, weights, 0.3, linear.QUALITY).where("predicted = 1").collect())
     assert sorted(r.doc_id for r in linear.accepted(docs, weights, 0.3, linear.QUALITY).collect()) == want
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in all columns, shared ids and columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, own_id string, sig int, text_hash string, `a.b` int, cuts int, score double"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text, more = " ".join(f"word{i}" for i in range(80)), "".join(f" more{i}" for i in range(40))
+    rows = [(1, text), (1, "other words under the same id as that text"), (2, None), (None, text), (None, None), (3, ""), (4, text + " mail a@b.org" + more), (4, "x " * 90), (5, "y " + text), (5, "y " + text)]
+    full = spark.createDataFrame([(*r, *[None] * 9) for r in rows], schema)
+    for docs, n in ((full, [10, 8, 8, 8]), (full.limit(0), [0, 0, 0, 0])):
+        for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], n):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            assert docs.count() == want, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+        if n[0]:
+            assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == sorted([(1, text), (1, rows[1][1]), (2, ""), (0, text), (0, ""), (3, ""), (4, " mail [EMAIL]" + more), (4, "x " * 90)])
