@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harrow.functions import urls
-from harrow.functions.regex import first_label, has, java, let, strip
+from harrow.functions.regex import first_label, folded, has, java, let, strip
 
 SMALL_PAGE = 10_240
 EMPTY_PAGE, SHELL_PAGE, SHELL_TEXT = 100, 500, 100
@@ -113,7 +113,8 @@ def detect_antibot(content: Column, headers: Column | None = None, cookies: Colu
         chain.append(F.when(F.coalesce(F.map_contains_key(low, "x-amzn-waf-action"), F.lit(False)), found("aws_waf", 1, F.lit("x-amzn-waf-action header"))))
     there = content.isNotNull()
     chain += [F.when(there & evidence(kind, what), found(provider, 1, F.lit(label))) for provider, label, kind, what in PROVIDERS if kind == "content" or (low if kind == "header" else jar) is not None]
-    chain += [F.when((F.length(content) < SMALL_PAGE) & has(content, pattern), found(None, 2, F.lit(label))) for pattern, label in GENERIC]
+    generic = lambda s: F.coalesce(*[F.when(has(s["text"], pattern, by=s), found(None, 2, F.lit(label))) for pattern, label in GENERIC])
+    chain.append(F.when(F.length(content) < SMALL_PAGE, let(folded(content), generic)))
     size, bare = F.length(content), ~has(content, CONTENT_TAGS, "i")
     chain.append(F.when((size < EMPTY_PAGE) & bare, found(None, 3, F.format_string("effectively empty (%d bytes)", size))))
     chain.append(F.when((size < SHELL_PAGE) & bare, found(None, 3, F.format_string("empty shell (%d bytes, no content tags)", size))))
@@ -122,28 +123,19 @@ def detect_antibot(content: Column, headers: Column | None = None, cookies: Colu
     return F.coalesce(*chain)
 
 
-#: A word, in lower case, that each phrase of NON_CONTENT holds, in the same order: looked for before the pattern is tried.
-NON_CONTENT_WORDS = (
-    "password", "<title>", "maintenance", "maintenance", "be", "be", "went", "temporarily", "scheduled", "currently", "right", "difficulties", "construction", "coming", "coming",
-    "many", "rate", "browsing", "slow", "refresh", "available", "restrict", "restriction", "blocked", "accessible", "account", "ed",
-)
-
-
 def detect_non_content(content: Column) -> Column:
     """struct<category, pattern> of a small page that is a login wall, a notice or a refusal; else null."""
 
     def judged(s: Column) -> Column:
         chain = []
-        for (category, label, pattern, context), word in zip(NON_CONTENT, NON_CONTENT_WORDS, strict=True):
-            told = (s["odd"] | s["low"].contains(word)) & has(s["text"], pattern, "i")
+        for category, label, pattern, context in NON_CONTENT:
+            told = has(s["text"], pattern, "i", s)
             if context:
                 told = told & has(s["text"], context, "i")
             chain.append(F.when(told, F.struct(F.lit(category).alias("category"), F.lit(label).alias("pattern"))))
         return F.coalesce(*chain)
 
-    # letters that match s, i or k without regard to case but aren't lowered to them: such texts skip the words
-    odd = content.rlike("[\u017f\u0131\u0130\u212a]")
-    return F.when(F.length(content) < SMALL_PAGE, let(F.struct(content.alias("text"), F.lower(content).alias("low"), odd.alias("odd")), judged))
+    return F.when(F.length(content) < SMALL_PAGE, let(folded(content), judged))
 
 
 def verify_page(status: Column, page_url: Column, content: Column, headers: Column | None, cookies: Column | None, target_url: Column) -> Column:

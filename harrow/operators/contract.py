@@ -7,6 +7,7 @@ fields. ``errors`` finds what a record violates; ``tolerated`` drops the errors
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -250,32 +251,37 @@ def _list_errors(v: Column, kind: Column, path: Column, node: Items) -> Column:
     return chain.when(kind != "ARRAY", _one(path, F.concat(F.lit("expected a list, got "), type_name(v)), v, "type")).otherwise(let(items_of(v), counted))
 
 
+def _broken(node: Field, text: Column, number: Column, whole: Column | bool) -> list[tuple[Column, Column]]:
+    """(condition, message) of each constraint of a scalar of the right type, whole telling integers."""
+    rules = []
+    if node.enum is not None:
+        allowed = ", ".join(f'"{x}"' for x in node.enum)
+        rules.append((~text.isin(*node.enum), F.concat(F.lit('value "'), cut(text), F.lit(f'" is not one of the allowed values: {allowed}'))))
+    if node.min_length is not None:
+        rules.append((F.length(text) < node.min_length, F.format_string(f"string has %d characters, minimum is {node.min_length}", F.length(text))))
+    if node.max_length is not None:
+        rules.append((F.length(text) > node.max_length, F.format_string(f"string has %d characters, maximum is {node.max_length}", F.length(text))))
+    if node.pattern is not None:
+        rules.append((~has(text, node.pattern), F.concat(F.lit('string "'), cut(text), F.lit(f'" does not match pattern {node.pattern}'))))
+    if node.type_ in (int, float) and (node.min is not None or node.max is not None):
+        sound = ~F.isnan(number)  # comparisons with NaN hold for neither bound
+        low = sound & (number < node.min) if node.min is not None else F.lit(False)
+        high = sound & (number > node.max) if node.max is not None else F.lit(False)
+        said = number_text(number) if node.type_ is float or whole is False else text if whole is True else F.when(whole, text).otherwise(number_text(number))
+        between = node.min is not None and node.max is not None
+        rule = f"must be between {node.min} and {node.max}" if between else f"must be >= {node.min}" if node.min is not None else f"must be <= {node.max}"
+        rules.append((low | high, F.concat(F.lit("value is "), said, F.lit(", " + rule))))
+    return rules
+
+
 def _scalar_errors(v: Column, kind: Column, path: Column, node: Field) -> Column:
     def checked(s: Column) -> Column:
         kind, text, number, parts = s["kind"], s["text"], s["number"], []
         whole = (kind == "FLOAT") & ~F.isnan(number) & (F.abs(number) < float("inf")) & (number == F.rint(number))
         fits = {str: kind == "STRING", bool: kind == "BOOLEAN", int: (kind == "INT") | whole, float: kind.isin("INT", "FLOAT")}[node.type_]
 
-        def add(bad: Column, message: Column) -> None:
+        for bad, message in _broken(node, text, number, kind == "INT"):
             parts.append(F.when(bad, F.array(F.struct(message.alias("message"), F.lit("constraint").alias("kind")))))
-
-        if node.enum is not None:
-            allowed = ", ".join(f'"{x}"' for x in node.enum)
-            add(~text.isin(*node.enum), F.concat(F.lit('value "'), cut(text), F.lit(f'" is not one of the allowed values: {allowed}')))
-        if node.min_length is not None:
-            add(F.length(text) < node.min_length, F.format_string(f"string has %d characters, minimum is {node.min_length}", F.length(text)))
-        if node.max_length is not None:
-            add(F.length(text) > node.max_length, F.format_string(f"string has %d characters, maximum is {node.max_length}", F.length(text)))
-        if node.pattern is not None:
-            add(~has(text, node.pattern), F.concat(F.lit('string "'), cut(text), F.lit(f'" does not match pattern {node.pattern}')))
-        if node.type_ in (int, float) and (node.min is not None or node.max is not None):
-            sound = ~F.isnan(number)  # comparisons with NaN hold for neither bound
-            low = sound & (number < node.min) if node.min is not None else F.lit(False)
-            high = sound & (number > node.max) if node.max is not None else F.lit(False)
-            said = number_text(number) if node.type_ is float else F.when(kind == "INT", text).otherwise(number_text(number))
-            between = node.min is not None and node.max is not None
-            rule = f"must be between {node.min} and {node.max}" if between else f"must be >= {node.min}" if node.min is not None else f"must be <= {node.max}"
-            add(low | high, F.concat(F.lit("value is "), said, F.lit(", " + rule)))
         empty = F.array().cast("array<struct<message:string,kind:string>>")
         wrong = F.array(F.struct(F.concat(F.lit(f"expected {node.type_.__name__}, got "), type_name(s["v"])).alias("message"), F.lit("type").alias("kind")))
         good = F.concat(*[F.coalesce(p, empty) for p in parts]) if parts else empty
@@ -386,16 +392,60 @@ def validate_records(df: DataFrame, record: str, contract: Any, tolerance: str =
     return df.withColumn("errors", found).withColumn("passed", F.size("errors") == 0)
 
 
+#: Kinds of the values of typed columns; columns of other types are checked as VARIANT.
+COLUMN_KINDS = {"string": "STRING", "boolean": "BOOLEAN", "tinyint": "INT", "smallint": "INT", "int": "INT", "bigint": "INT", "float": "FLOAT", "double": "FLOAT"}
+KIND_NAMES = {"STRING": "string", "BOOLEAN": "boolean", "INT": "integer", "FLOAT": "float"}
+
+
+def _column_errors(c: Column, kind: str, path: Column, node: Field, optional: bool) -> list[tuple[Column, Column]]:
+    """(condition, error) of a typed column, in order: what _field_errors says of the same value as VARIANT."""
+    text, number, found = c.cast("string"), c.cast("double"), []
+    shown = {"STRING": F.concat(F.lit('"'), cut(text), F.lit('"')), "BOOLEAN": F.when(c.cast("boolean"), "True").otherwise("False") if kind == "BOOLEAN" else text, "FLOAT": number_text(number) if kind == "FLOAT" else text, "INT": text}[kind]
+
+    def add(bad: Column, message: Column, value: Column, error_kind: str) -> None:
+        found.append((F.coalesce(bad, F.lit(False)), F.struct(path.alias("path"), message.alias("message"), value.alias("value"), F.lit(error_kind).alias("error_kind"))))
+
+    if not optional:
+        add(c.isNull(), F.lit("field is null, but it is required"), F.lit(None).cast("string"), "null")
+    whole = ~F.isnan(number) & (F.abs(number) < float("inf")) & (number == F.rint(number)) if kind == "FLOAT" else F.lit(True)
+    fits = {str: kind == "STRING", bool: kind == "BOOLEAN", int: kind in ("INT", "FLOAT"), float: kind in ("INT", "FLOAT")}[node.type_]
+    good = F.lit(fits) & (whole if node.type_ is int else F.lit(True))
+    if not fits or (node.type_ is int and kind == "FLOAT"):
+        add(c.isNotNull() & ~good, F.lit(f"expected {node.type_.__name__}, got {KIND_NAMES[kind]}"), shown, "type")
+    if fits:
+        for bad, message in _broken(node, text, number, kind == "INT"):
+            add(c.isNotNull() & good & bad, message, shown, "constraint")
+    return found
+
+
 def validate_table(df: DataFrame, contract: Any, ordinal: str) -> DataFrame:
     """Error rows (ord, path, message, value, error_kind) of a table as a list of objects, numbered by a unique column.
 
-    Rows are checked where they are; an error's path begins with the row's number in brackets."""
+    Rows are checked where they are; an error's path begins with the row's number in brackets. Fields of plain types are
+    checked by predicates on their columns, which reach the scan if there are no others; only rows that break one get
+    messages. Fields of nested and other types are checked as VARIANT."""
     node = parse(contract)
     if isinstance(node, Items):
         node = node.item
-    record = F.to_variant_object(F.struct(*[F.col(n) for n in node.fields if n in df.columns]))
-    path = F.concat(F.lit("["), F.col(ordinal).cast("string"), F.lit("]"))
-    found = df.select(F.col(ordinal).alias("ord"), F.explode(errors(record, node, path)).alias("e"))
+    path, kinds = F.concat(F.lit("["), F.col(ordinal).cast("string"), F.lit("]")), {n: COLUMN_KINDS.get(t) for n, t in df.dtypes}
+    parts, broken, plain = [], [], True
+    for name, (child, optional) in node.fields.items():
+        here = F.concat(path, F.lit("." + name))
+        if name not in kinds:
+            rules = [] if optional else [(F.lit(True), F.struct(here.alias("path"), F.lit("missing required field").alias("message"), F.lit(None).cast("string").alias("value"), F.lit("missing").alias("error_kind")))]
+        elif isinstance(child, Field) and kinds[name]:
+            rules = _column_errors(F.col(name), kinds[name], here, child, optional)
+        else:
+            record = F.to_variant_object(F.struct(F.col(name)))
+            parts.append(_field_errors(record, path, name, child, optional))
+            plain = False
+            continue
+        if rules:
+            parts.append(F.array_compact(F.array(*[F.when(bad, error) for bad, error in rules])).cast(ERROR_TYPE))
+            broken += [bad for bad, _ in rules]
+    if plain:
+        df = df.where(functools.reduce(lambda a, b: a | b, broken, F.lit(False)))
+    found = df.select(F.col(ordinal).alias("ord"), F.explode(F.concat(*parts) if parts else _none()).alias("e"))
     return found.select("ord", "e.*")
 
 

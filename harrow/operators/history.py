@@ -36,8 +36,10 @@ def requests(log: DataFrame) -> DataFrame:
 
 def fills_so_far(fills: DataFrame) -> DataFrame:
     """fills (session_id, step, value) with all values up to each step, each once, in order."""
-    by = Window.partitionBy("session_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return fills.withColumn("values", F.array_distinct(F.collect_list("value").over(by)))
+    first = F.row_number().over(Window.partitionBy("session_id", "value").orderBy("step")) == 1
+    by = Window.partitionBy("session_id").orderBy("step", "value").rowsBetween(Window.unboundedPreceding, 0)
+    marked = fills.withColumn("__new", F.when(first, F.col("value")))  # a value is collected once, however often it recurs
+    return marked.withColumn("values", F.collect_list("__new").over(by)).drop("__new")
 
 
 def carried_sections(referenced: DataFrame, before: DataFrame) -> DataFrame:

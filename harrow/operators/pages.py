@@ -18,7 +18,7 @@ from harrow.functions.regex import first_label
 
 NODE_SCHEMA = (
     "page_id long, node_id int, parent_id int, depth int, pos int, tag string, attrs map<string,string>, text string, tail string, subtree_end int, size int, "
-    "hidden boolean, excluded boolean"
+    "hidden boolean, excluded boolean, shape string"
 )
 REFERENCE = "struct<xpath:string,css_selector:string,tag:string,dom_index:int,attributes:map<string,string>>"
 ELEMENT = "struct<iid:int,tag:string,attributes:map<string,string>,classes:array<string>,element_text:string,full_tag_str:string>"
@@ -63,9 +63,11 @@ def _node_rows(page: str | None) -> list[dict]:
     for kids in tree.children:
         for i, c in enumerate(kids):
             places[c] = i
+    shapes = [",".join(f"{tree.tag[c]}:{len(tree.children[c])}" for c in kids) for kids in tree.children]
     return [
         {"node_id": n, "parent_id": tree.parent[n] if n else None, "depth": tree.depth[n], "pos": places[n], "tag": tree.tag[n], "attrs": _map(tree.attrs[n]), "text": tree.text[n],
-         "tail": tree.tail[n], "subtree_end": tree.end[n], "size": size[n], "hidden": tree.hidden(n), "excluded": tree.tag[n] in dom.EXCLUDED}
+         "tail": tree.tail[n], "subtree_end": tree.end[n], "size": size[n], "hidden": tree.hidden(n), "excluded": tree.tag[n] in dom.EXCLUDED,
+         "shape": shapes[n]}
         for n in range(len(tree))
     ]
 
@@ -85,16 +87,10 @@ def visible_nodes(nodes: DataFrame) -> DataFrame:
 
 def repeated_groups(nodes: DataFrame, least: int = 3) -> DataFrame:
     """(page_id, parent_id, signature, n, first_node) of visible children of one parent with equal tag, classes and
-    children: aggregations on the node table, no Python."""
-    seen = visible_nodes(nodes).where(F.col("size") > 0)
-    kids = nodes.where("parent_id is not null")
-    own_kids = kids.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_kids"))
-    counted = kids.select("page_id", "parent_id", "node_id", "pos", "tag").join(own_kids, ["page_id", "node_id"], "left")
-    shape = F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag", F.coalesce("n_kids", F.lit(0)).alias("k")))), lambda x: F.concat_ws(":", x["tag"], x["k"].cast("string")))
-    shapes = counted.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.array_join(shape, ",").alias("shape"))
+    children (shape). The page is parsed once; the window over its nodes and the groups need one shuffle by page."""
     classes = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: c != ""))), ".")
-    signed = seen.where("parent_id is not null").join(shapes, ["page_id", "node_id"], "left")
-    signed = signed.withColumn("signature", F.concat_ws("|", "tag", classes, F.coalesce("shape", F.lit(""))))
+    seen = visible_nodes(nodes).where((F.col("size") > 0) & F.col("parent_id").isNotNull())
+    signed = seen.withColumn("signature", F.concat_ws("|", "tag", classes, "shape"))
     groups = signed.groupBy("page_id", "parent_id", "signature").agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
     return groups.where(F.col("n") >= least)
 
@@ -138,18 +134,18 @@ def page_sections(pages: DataFrame, least: int = 500, preferred: int = 15_000, m
     return per_page(pages, rows, SECTION_SCHEMA)
 
 
-def cleaned(pages: DataFrame, options: sanitize.Options = sanitize.CONSERVATIVE) -> DataFrame:
-    """(page_id, html) cleaned by a preset or own options."""
-    return per_page(pages, lambda page: [{"html": sanitize.clean(page, options)}], "page_id long, html string")
+def cleaned(pages: DataFrame, options: sanitize.Options = sanitize.CONSERVATIVE, words: frozenset[str] = sanitize.CLASS_WORDS) -> DataFrame:
+    """(page_id, html) cleaned by a preset or own options; words is the dictionary that class names are judged by."""
+    return per_page(pages, lambda page: [{"html": sanitize.clean(page, options, words)}], "page_id long, html string")
 
 
-def unstable_classes(names: DataFrame, column: str = "name") -> DataFrame:
+def unstable_classes(names: DataFrame, column: str = "name", words: frozenset[str] = sanitize.CLASS_WORDS) -> DataFrame:
     """(name, unstable) of the distinct values of a column of class names: each name is judged once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0)
-            yield pa.RecordBatch.from_arrays([own, pa.array([sanitize.is_unstable_class(x) for x in own.to_pylist()], pa.bool_())], names=["name", "unstable"])
+            yield pa.RecordBatch.from_arrays([own, pa.array([sanitize.is_unstable_class(x, words=words) for x in own.to_pylist()], pa.bool_())], names=["name", "unstable"])
 
     return names.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("name")).distinct().mapInArrow(run, "name string, unstable boolean")
 

@@ -33,16 +33,21 @@ def multiset_similarity(pairs: DataFrame, a: str, b: str, key: str) -> DataFrame
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The same as one expression, for texts of a page's size: sorted words are merged by their counts."""
+    """The same as one expression: the words of both texts are sorted and counted in one pass."""
+    side = lambda text, n: F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(n).alias("side")))
+    nothing = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("shared"), F.lit(0).alias("total"))
 
-    def counted(x: Column) -> Column:
-        x_words, y_words = x["a"], x["b"]
-        every = F.array_distinct(F.concat(x_words, y_words))
-        n = lambda side, w: F.size(F.filter(side, lambda v: v == w))
-        sums = F.aggregate(every, F.struct(F.lit(0).alias("s"), F.lit(0).alias("t")), lambda acc, w: F.struct((acc["s"] + F.least(n(x_words, w), n(y_words, w))).alias("s"), (acc["t"] + F.greatest(n(x_words, w), n(y_words, w))).alias("t")))
-        return let(sums, lambda s: F.when(s["t"] > 0, s["s"] / s["t"]).otherwise(1.0))
+    def step(s: Column, r: Column) -> Column:
+        same, mine = s["w"].eqNullSafe(r["w"]), r["side"] == 0
+        x, y = F.when(same, s["x"]).otherwise(0), F.when(same, s["y"]).otherwise(0)
+        done = lambda name, pick: F.when(same, s[name]).otherwise(s[name] + pick(s["x"], s["y"])).alias(name)
+        return F.struct(r["w"].alias("w"), (x + F.when(mine, 1).otherwise(0)).alias("x"), (y + F.when(mine, 0).otherwise(1)).alias("y"), done("shared", F.least), done("total", F.greatest))
 
-    return let(F.struct(words(F.coalesce(a, F.lit(""))).alias("a"), words(F.coalesce(b, F.lit(""))).alias("b")), counted)
+    def ratio(s: Column) -> Column:
+        total = s["total"] + F.greatest(s["x"], s["y"])
+        return F.when(total > 0, (s["shared"] + F.least(s["x"], s["y"])) / total).otherwise(1.0)
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), nothing, step, ratio)
 
 
 def boundary_match(value: Column, text: Column) -> Column:

@@ -15,6 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a plain scan, dealt over all cores if it has fewer splits than there are: for small files and much work a row."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
+
+
 def read_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     """Checkpoint files CP-n.json of a folder with their number; corrupt files are left out."""
     df = spark.read.schema(CHECKPOINT_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").json(f"{folder}/CP-*.json")
