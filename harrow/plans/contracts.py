@@ -40,15 +40,18 @@ SELECT pattern, message, error_kind, count(*) AS n, count(DISTINCT k) AS n_rows
 def contract_grouped_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of customers' errors with their first position and three examples."""
     groups = contract.grouped(contract.validate_table(table(spark, sf_dir, "customer"), CUSTOMERS, "c_custkey"))
-    paths = F.array_join(F.transform("examples", lambda e: e["path"]), ",")
-    wide = groups.where("pattern in ('[*].c_name', '[*].c_phone')").groupBy("pattern", "error_kind").agg(F.sum("count").alias("n"), F.min("first_ord").alias("first_ord"), F.min_by(paths, "first_ord").alias("first_paths"))
-    return wide.withColumn("first_paths", F.substring_index("first_paths", ",", 1))
+    shown = lambda field: F.array_join(F.transform("examples", lambda e: e[field]), ",")
+    return groups.select("pattern", "message", "error_kind", F.col("count").alias("n"), "first_ord", shown("path").alias("paths"), shown("value").alias("values"))
 
 
 GROUPED_SQL = """
-SELECT '[*].c_name' AS pattern, 'constraint' AS error_kind, CAST(count(*) AS BIGINT) AS n, min(c_custkey) AS first_ord, '[' || min(c_custkey) || '].c_name' AS first_paths
-FROM customer WHERE NOT regexp_matches(c_name, '[05]$')
-UNION ALL SELECT '[*].c_phone', 'missing', count(*), min(c_custkey), '[' || min(c_custkey) || '].c_phone' FROM customer
+WITH e AS (
+  SELECT c_custkey AS ord, 'c_name' AS f, 'string "' || c_name || '" does not match pattern [05]$' AS message, 'constraint' AS error_kind, '"' || c_name || '"' AS value FROM customer WHERE NOT regexp_matches(c_name, '[05]$')
+  UNION ALL SELECT c_custkey, 'c_acctbal', 'value is ' || CAST(c_acctbal AS VARCHAR) || ', must be >= 0', 'constraint', CAST(c_acctbal AS VARCHAR) FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT c_custkey, 'c_phone', 'missing required field', 'missing', NULL FROM customer
+), r AS (SELECT *, row_number() OVER (PARTITION BY f, message ORDER BY ord) AS rank FROM e)
+SELECT '[*].' || f AS pattern, message, error_kind, count(*) AS n, min(ord) AS first_ord, string_agg('[' || ord || '].' || f, ',' ORDER BY ord) FILTER (rank <= 3) AS paths,
+  coalesce(string_agg(value, ',' ORDER BY ord) FILTER (rank <= 3), '') AS "values" FROM r GROUP BY f, message, error_kind
 """
 
 

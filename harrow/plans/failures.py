@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import failures
 from harrow.operators import diagnosis
-from harrow.sources.tables import table
+from harrow.sources.tables import spread, table
 
 #: Error texts by kind of failure; %d stands for a small number.
 ERRORS = (
@@ -51,7 +51,7 @@ FROM events
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.sql(ATTEMPTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    df = spark.sql(ATTEMPTS.replace("FROM events", "FROM {events}"), events=spread(table(spark, sf_dir, "events").select("event_id", "user_id")))
     return df.withColumn("headers", F.lit(None).cast("map<string,string>")).withColumn("cookies", F.lit(None).cast("array<map<string,string>>"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from harrow.functions import text
 from harrow.operators import diagnosis, history, pages, relevance, scripts, transcript
 from harrow.plans import failures
-from harrow.plans.scripts import _FILLS, _VISITS
-from harrow.plans.transcripts import _messages, _sections
+from harrow.plans.scripts import _FILLS, _VISITS, FILL_PARAMS_SQL
+from harrow.plans.transcripts import _SPACE, _messages, _sections
 from harrow.sources import tables
 from harrow.sources.tables import table
 
@@ -93,8 +93,15 @@ SELECT conv_id, 1 AS start, stop AS "end", count(*) AS n, CAST(sum(tokens) AS BI
 
 
 def transcripts_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of each conversation as text."""
-    return transcript.serialised(_messages(spark, sf_dir)).select("conv_id", F.length("transcript").alias("chars"))
+    """Each conversation as text."""
+    return transcript.serialised(_messages(spark, sf_dir))
+
+
+SERIALISED_SQL = f"""
+WITH m AS (SELECT conv_id, turn, role, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations)
+SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '--- Turn ' || n || ' ---' || chr(10) || chr(10) || CASE WHEN t = '' THEN '' ELSE 'ASSISTANT:' || chr(10) || t || chr(10) END
+  WHEN t = '' OR (starts_with(t, '[Turn ') AND contains(t, 'remaining')) THEN '' ELSE 'USER: ' || t || chr(10) END, chr(10) ORDER BY turn) AS transcript FROM m GROUP BY conv_id
+"""
 
 
 def direct_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +119,14 @@ def section_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", relevance.preview(F.col("text")).alias("preview"))
 
 
+PREVIEWS_SQL = f"""
+WITH s AS (SELECT doc_id, regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM documents), c AS (SELECT *, regexp_replace(replace(t, chr(10), ' '), ' {{2,}}', ' ', 'g') AS c FROM s),
+h AS (SELECT *, left(c, 80) AS head, right(c, 80) AS tail FROM c), i AS (SELECT *, 80 - strpos(reverse(head), ' ') AS last, strpos(tail, ' ') - 1 AS first FROM h)
+SELECT doc_id, '[preview: "' || CASE WHEN length(c) <= 160 THEN c ELSE CASE WHEN contains(head, ' ') AND last > 40 THEN left(head, last) ELSE head END || '... ··· ...'
+  || CASE WHEN first > 0 AND first < 40 THEN substr(tail, first + 2) ELSE tail END END || '" | ' || length(t) || ' chars]' AS preview FROM i
+"""
+
+
 def fill_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes on addresses that carry what was filled in."""
     customers = table(spark, sf_dir, "customer")
@@ -120,6 +135,18 @@ def fill_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.hints(scripts.matched_params(visits, own(_FILLS)), visits)
 
 
+HINTS_SQL = f"""
+WITH m AS ({FILL_PARAMS_SQL}), v AS ({_VISITS}), p AS (
+  SELECT visit_id, split_part(x, '=', 1) AS key, regexp_replace(x, '^[^=]*=', '') AS value FROM (SELECT visit_id, unnest(string_split(regexp_extract(url_after, '\\?([^#]*)', 1), '&')) AS x FROM v)
+), o AS (
+  SELECT visit_id, key || '=' || value AS shown, row_number() OVER (PARTITION BY visit_id ORDER BY key || '=' || value) AS n FROM p WHERE NOT (key = 'page' AND value = '1') AND (visit_id, key) NOT IN (SELECT (visit_id, key) FROM m)
+), others AS (SELECT visit_id, chr(10) || '  (' || string_agg(shown, ', ' ORDER BY n) || ', etc.)' AS rest FROM o WHERE n <= 5 GROUP BY visit_id),
+notes AS (SELECT visit_id, string_agg('  "' || fill_value || '"  →  ' || key, chr(10) ORDER BY '  "' || fill_value || '"  →  ' || key) AS lines FROM m GROUP BY visit_id)
+SELECT visit_id, 'After the form was sent, the page went to:' || chr(10) || '  ' || url_after || chr(10) || 'These inputs appear in its parameters:' || chr(10) || lines || coalesce(rest, '') AS hint
+FROM notes JOIN v USING (visit_id) LEFT JOIN others USING (visit_id)
+"""
+
+
 def page_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by mode and whether the pages they saw would pass the gate."""
     seen = diagnosis.examined(failures.attempts(spark, sf_dir)).where("not success")
@@ -166,6 +193,14 @@ def size_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", text.short_number(F.col("chars")).alias("size"), text.percent(F.col("chars"), F.sum("chars").over(whole)).alias("share"), text.bar(F.col("chars"), F.max("chars").over(whole), 10).alias("bar"), text.sparkline(F.col("parts")).alias("by_lang"))
 
 
+SIZE_SQL = """
+WITH l AS (SELECT source, lang, sum(length(text)) AS n FROM documents GROUP BY ALL), s AS (SELECT source, sum(n) AS n, list(n ORDER BY lang) AS parts, list_min(list(n)) AS low, list_max(list(n)) AS high FROM l GROUP BY source),
+w AS (SELECT *, sum(n) OVER () AS total, max(n) OVER () AS most FROM s)
+SELECT source, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000) WHEN n >= 1000 THEN printf('%.1fK', n / 1000) ELSE CAST(n AS VARCHAR) END AS size, printf('%5.1f%%', n / total * 100) AS share,
+  repeat('█', CAST(floor(n / most * 10) AS INT)) || repeat('░', 10 - CAST(floor(n / most * 10) AS INT)) AS bar,
+  array_to_string(list_transform(parts, lambda x: ['▁', '▂', '▃', '▄', '▅', '▆', '▇', '█'][1 + CAST(floor((x - low) / CASE WHEN high = low THEN 1 ELSE high - low END * 7) AS INT)]), '') AS by_lang FROM w
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -175,5 +210,5 @@ QUERIES = {
 }
 SQL = {
     "request_states": REQUESTS_SQL, "values_so_far": SO_FAR_SQL, "bounded_history": BOUNDED_SQL, "line_search": SEARCH_SQL, "line_samples": SAMPLES_SQL, "compression_plans": PLANS_SQL,
-    "direct_references": DIRECT_SQL, "page_gates": GATES_SQL, "content_hashes": HASH_SQL,
+    "transcripts_serialised": SERIALISED_SQL, "direct_references": DIRECT_SQL, "section_previews": PREVIEWS_SQL, "fill_hints": HINTS_SQL, "page_gates": GATES_SQL, "content_hashes": HASH_SQL, "size_lines": SIZE_SQL,
 }

@@ -11,19 +11,20 @@ from harrow.operators import pages
 from harrow.sources.tables import table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), ':\d*$', ''), '^www\.', '')"
-_GENERIC = "(?i)Access\\s+Denied|Checking\\s+your\\s+browser|Access\\s+to\\s+This\\s+Page\\s+Has\\s+Been\\s+Blocked|blocked\\s+by\\s+security|Request\\s+unsuccessful"
-
-
-def _no_group(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-_SOFT = " ".join(
-    f"WHEN regexp_matches(html, '(?i){_no_group(p)}')" + (f" AND regexp_matches(html, '(?i){_no_group(c)}')" if c else "") + f" THEN '{category}'"
-    for category, _, p, c in verdicts.NON_CONTENT
-)
-_TIER1 = " OR ".join(f"regexp_matches(html, '{_no_group(what)}')" for _, _, kind, what in verdicts.PROVIDERS if kind == "content")
-_TIER2 = " OR ".join(f"regexp_matches(html, '{_no_group(p)}')" for p, _ in verdicts.GENERIC)
+#: What the checks look for, as SQL states it, apart from the library's own tables.
+_SOFT = r"""
+WHEN regexp_matches(html, '(?i)<input[^>]+type=["'']password["'']') OR (regexp_matches(html, '(?i)<title>[^<]*(sign\s*in|log\s*in|login)[^<]*</title>') AND regexp_matches(html, '(?i)<form[\s>]')) THEN 'login'
+WHEN regexp_matches(html, '(?i)under\s+maintenance|maintenance\s+mode|we[''’]ll\s+be\s+(right\s+)?back|we\s+will\s+be\s+(right\s+)?back|something\s+went\s+wrong|temporarily\s+unavailable|scheduled\s+(down\s*time|maintenance)|currently\s+unavailable|be\s+right\s+back|experiencing\s+(technical\s+)?difficulties|under\s+construction|<title>[^<]*coming\s+soon[^<]*</title>|<h1[^>]*>[^<]*coming\s+soon[^<]*</h1>') THEN 'maintenance'
+WHEN regexp_matches(html, '(?i)too\s+many\s+requests|rate\s+limit|you[''’]re\s+browsing\s+too\s+fast') OR (regexp_matches(html, '(?i)slow\s+down') AND regexp_matches(html, '(?i)request|try\s+again|wait'))
+  OR (regexp_matches(html, '(?i)<meta\s+http-equiv=["'']refresh["'']') AND regexp_matches(html, '(?i)wait|try|moment')) THEN 'rate_limit'
+WHEN regexp_matches(html, '(?i)not\s+available\s+in\s+your\s+(country|region|area|location)|geo(graphically)?\s*restrict|region(al)?\s+restriction|blocked\s+in\s+your\s+(country|region)|not\s+accessible\s+from\s+your\s+location') THEN 'geo_restriction'
+WHEN regexp_matches(html, '(?i)account\s+(has\s+been\s+)?(suspended|banned|disabled|terminated)|(ip|address)\s+(has\s+been\s+)?(blocked|banned)') THEN 'suspended'
+"""
+_TIER1 = r"""regexp_matches(html, '(?s)challenge-form.*__cf_chl_f_tk=') OR regexp_matches(html, '/cdn-cgi/challenge-platform/\S+orchestrate|<span\s+class="cf-error-code">\d{4}</span>|<title>\s*Just\s+a\s+moment')
+  OR regexp_matches(html, 'Pardon\s+Our\s+Interruption|Reference\s*#\s*\d+\.[0-9a-f]+\.\d+\.[0-9a-f]+|window\._pxAppId\s*=|captcha\.px-cdn\.net|captcha-delivery\.com')
+  OR regexp_matches(html, '_Incapsula_Resource|Incapsula\s+incident\s+ID|KPSDK\.scriptStart\s*=\s*KPSDK\.now\(\)')"""
+_TIER2 = r"""regexp_matches(html, '(?i)Access\s+Denied|Checking\s+your\s+browser|Access\s+to\s+This\s+Page\s+Has\s+Been\s+Blocked|blocked\s+by\s+security|Request\s+unsuccessful')
+  OR regexp_matches(html, 'class=["''](g-recaptcha|h-captcha)["'']')"""
 _BARE = r"NOT regexp_matches(html, '(?i)<(?:p|h[1-6]|article)[\s>]')"
 _VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
 _TIER = rf"""CASE WHEN {_TIER1} THEN 1 WHEN length(html) < 10240 AND ({_TIER2}) THEN 2 WHEN length(html) < 500 AND {_BARE} THEN 3

@@ -5,10 +5,10 @@ Where SQL can state a result, it is written for DuckDB over the same tables; the
 
 from __future__ import annotations
 
-from harrow.plans import contracts, failures, histories, pages, scripts, transcripts
+from harrow.plans import catalog, contracts, failures, histories, pages, scripts, transcripts
 
 FLAGSHIP = "page_verdicts"
-MODULES = (pages, failures, contracts, transcripts, scripts, histories)
+MODULES = (pages, catalog, failures, contracts, transcripts, scripts, histories)
 
 
 def queries() -> dict:

@@ -1,4 +1,4 @@
-"""Queries on scripts (a few literal ones, as the tables hold no code) and on values that addresses carry."""
+"""Queries on scripts, made from customers by an expression as the tables hold no code, and on values that addresses carry."""
 
 from __future__ import annotations
 
@@ -8,37 +8,60 @@ from pyspark.sql import functions as F
 from harrow.operators import scripts
 from harrow.sources.tables import table
 
-SAMPLES = (
-    'async def scrape(page, start_url, checkpoint):\n    await page.goto(start_url)\n    await page.fill("#q", "Berlin")\n    for i in range(20):\n        await page.click(".next")\n        rows = page.locator(".row")\n        n = await rows.count()\n    return n\n',
-    "async def scrape(page, start_url, checkpoint):\n    box = page.get_by_placeholder('City')\n    await box.fill('Paris')\n    await page.evaluate(\"() => document.querySelector('#go').click()\")\n    await page.wait_for_selector('.card', timeout=20000)\n",
-    "def scrape(page):\n    # page.click('.no')\n    page.query_selector('.yes')\n",
-    "x = = 1",
-)
+#: A script by customer: what it fills in, how often it pages on and how it is declared differ.
+_CODE = """
+SELECT c_custkey AS script_id, CASE c_custkey % 7 WHEN 0 THEN 'def scrape(page, start_url, checkpoint):' WHEN 1 THEN 'async def scrape(page, start_url):' WHEN 2 THEN 'async def run(page):'
+    ELSE 'async def scrape(page, start_url, checkpoint):' END
+  || '\n    # page.click(".no")\n    await page.goto(start_url)\n    await page.fill("#q", "' || c_mktsegment || '")\n    for i in range(' || CAST(c_custkey % 90 AS STRING) || '):\n        await page.click(".next-' || CAST(c_nationkey AS STRING)
+  || '")\n    return await page.locator(".row").all_inner_texts()\n' || CASE WHEN c_custkey % 7 = 3 THEN 'x = = 1\n' ELSE '' END AS code FROM customer
+"""
 
 
-def _code(spark: SparkSession) -> DataFrame:
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("map<string,string>")
-    return spark.createDataFrame(list(enumerate(SAMPLES)), "script_id long, code string").withColumn("inputs", none).withColumn("functions", none)
+    return spark.sql(_CODE.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer")).withColumn("inputs", none).withColumn("functions", none)
 
 
 def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors of the sample scripts."""
-    return scripts.selectors(_code(spark))
+    """Selectors of the customers' scripts."""
+    return scripts.selectors(_code(spark, sf_dir))
+
+
+SELECTORS_SQL = """
+SELECT c_custkey AS script_id, selector, 'css' AS selector_type, category AS action_category, action, CAST(line AS INTEGER) AS line, 'python' AS source, in_loop, true AS after_navigation FROM (
+  SELECT c_custkey, unnest([{'selector': '#q', 'category': 'mutating', 'action': 'fill', 'line': 4, 'in_loop': false}, {'selector': '.next-' || c_nationkey, 'category': 'navigating', 'action': 'click', 'line': 6, 'in_loop': true},
+    {'selector': '.row', 'category': 'passive', 'action': 'all_inner_texts', 'line': 7, 'in_loop': false}], recursive := true) FROM customer)
+"""
 
 
 def fill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that the sample scripts fill in."""
-    return scripts.fill_values(_code(spark))
+    """Values that the customers' scripts fill in."""
+    return scripts.fill_values(_code(spark, sf_dir))
+
+
+FILL_VALUES_SQL = "SELECT c_custkey AS script_id, 'fill' AS action, c_mktsegment AS value, CAST(4 AS INTEGER) AS line FROM customer"
 
 
 def predicted_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time limits of the sample scripts."""
-    return scripts.timeouts(_code(spark))
+    """Time limits of the customers' scripts."""
+    return scripts.timeouts(_code(spark, sf_dir))
+
+
+#: Six seconds an await, of which the loop has as many as rounds, fifty at most (ten where the range is empty), half more, 30 at least.
+TIMEOUT_SQL = """
+SELECT c_custkey AS script_id, CAST(CASE WHEN c_custkey % 7 = 3 THEN 30 ELSE greatest(30, 1.5 * 6 * (3 + CASE WHEN c_custkey % 90 = 0 THEN 10 ELSE least(c_custkey % 90, 50) END)) END AS DOUBLE) AS timeout_s FROM customer
+"""
 
 
 def signature_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the sample scripts."""
-    return scripts.signature_problems(_code(spark))
+    """What is wrong with the customers' scripts."""
+    return scripts.signature_problems(_code(spark, sf_dir))
+
+
+SIGNATURE_SQL = """
+SELECT c_custkey AS script_id, CASE c_custkey % 7 WHEN 0 THEN 'scrape is not async' WHEN 1 THEN 'parameters are (page, start_url), not (page, start_url, checkpoint)' WHEN 2 THEN 'no function named scrape'
+  WHEN 3 THEN 'syntax error: invalid syntax' END AS problem FROM customer
+"""
 
 
 #: A visit by customer: what was filled in is the market segment, or its beginning, or the name's end.
@@ -70,4 +93,4 @@ SELECT visit_id, key, value, action, fill_value, CASE rank WHEN 0 THEN 'exact' E
 """
 
 QUERIES = {f.__name__: f for f in (selectors, fill_values, predicted_timeout, signature_problems, fill_params)}
-SQL = {"fill_params": FILL_PARAMS_SQL}
+SQL = {"selectors": SELECTORS_SQL, "fill_values": FILL_VALUES_SQL, "predicted_timeout": TIMEOUT_SQL, "signature_problems": SIGNATURE_SQL, "fill_params": FILL_PARAMS_SQL}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harrow.functions.sanitize import entropy
 from harrow.operators import relevance, transcript
 from harrow.sources.tables import table
 
@@ -161,6 +165,7 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"string_split_regex({}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+')"
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SIMILARITY_SQL = f"""
 WITH p AS (SELECT conv_id || ':' || turn AS key, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), q AS (SELECT * FROM p WHERE before IS NOT NULL), w AS (
   SELECT key, unnest({_WORDS.format("text")}) AS w, 0 AS side FROM q UNION ALL SELECT key, unnest({_WORDS.format("before")}) AS w, 1 AS side FROM q
@@ -179,13 +184,14 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rarity of the words at the beginning of each source's documents."""
-    return relevance.token_idf(_sections(spark, sf_dir)).where("idf < 3").select("page_id", "token", F.round("idf", 9).alias("idf"))
+    return relevance.token_idf(_sections(spark, sf_dir)).select("page_id", "token", F.round("idf", 9).alias("idf"))
 
 
 _CONTENT_TOKENS = f"list_distinct(list_filter(list_transform({_WORDS.format('left(text, 200)')}, lambda w: lower(w)), lambda w: length(w) >= 4 AND regexp_matches(w, '^\\p{{L}}+$')))"
+_FIRST_TOKENS = f"list_filter(list_transform({_WORDS.format('left(text, 200)')}, lambda w: lower(w)), lambda w, i: length(w) >= 4 AND regexp_matches(w, '^\\p{{L}}+$'))"
 IDF_SQL = f"""
 WITH t AS (SELECT source AS page_id, unnest(list_distinct(list_concat(['item'], {_CONTENT_TOKENS}))) AS token FROM documents), n AS (SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source)
-SELECT page_id, token, round(ln(1 + any_value(n.n) / count(*)), 9) AS idf FROM t JOIN n USING (page_id) GROUP BY page_id, token HAVING ln(1 + any_value(n.n) / count(*)) < 3
+SELECT page_id, token, round(ln(1 + any_value(n.n) / count(*)), 9) AS idf FROM t JOIN n USING (page_id) GROUP BY page_id, token
 """
 
 
@@ -222,12 +228,30 @@ def section_indirect_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.indirect_references(sections, relevance.direct_references(sections))
 
 
+INDIRECT_SQL = f"""
+WITH s AS (
+  SELECT source AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'item-' || lang || '-' || doc_id AS section_id, {_CONTENT_TOKENS} AS words,
+    'look at item-en-1 and the thing about ' || source AS said, count(*) OVER (PARTITION BY source) AS n FROM documents
+), t AS (SELECT page_id, unnest(list_distinct(list_concat(['item'], words))) AS token FROM s), f AS (
+  SELECT page_id, token, ln(1 + any_value(k.n) / count(*)) AS idf FROM t JOIN (SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source) k USING (page_id) GROUP BY page_id, token
+), q AS (SELECT *, string_split_regex(lower(said), '\\W+') AS named FROM s WHERE NOT contains(said, section_id)), k AS (
+  SELECT page_id, section_id, pos, n, named, 'id_tokens' AS source, 'item' AS token FROM q UNION ALL SELECT page_id, section_id, pos, n, named, 'content', unnest({_FIRST_TOKENS}[1:8]) FROM q JOIN documents ON section_id = 'item-' || lang || '-' || doc_id
+), c AS (SELECT page_id, section_id, pos, n, source, sum(CASE WHEN list_contains(named, token) THEN idf ELSE 0 END) / sum(idf) AS score FROM k JOIN f USING (page_id, token) GROUP BY ALL), b AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, section_id ORDER BY score DESC, source DESC) AS best FROM c
+), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM b WHERE best = 1 AND score > 0)
+SELECT page_id, section_id, score, source FROM r WHERE rank <= least(greatest(1, floor(n * 0.2)), 15)
+"""
+
+
 def string_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shannon entropy of the names of parts."""
-    chars = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.split("p_name", "")).alias("c")).where("c <> ''")
-    counts = chars.groupBy("p_partkey", "p_name", "c").agg(F.count("*").alias("k"))
-    share = F.col("k") / F.length("p_name")
-    return counts.groupBy("p_partkey").agg(F.round(-F.sum(share * F.log2(share)), 9).alias("bits"))
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([round(entropy(x), 9) for x in batch.column(1).to_pylist()], pa.float64())], names=["p_partkey", "bits"])
+
+    return names.mapInArrow(run, "p_partkey long, bits double")
 
 
 ENTROPY_SQL = """
@@ -238,8 +262,20 @@ SELECT p_partkey, round(-sum(k / n * log2(k / n)), 9) AS bits FROM k GROUP BY p_
 
 def full_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that differ enough from the last one analysed in full."""
-    views = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return relevance.full_analysis_needed(views).groupBy("full").agg(F.count("*").alias("n"))
+    return relevance.full_analysis_needed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+
+
+FULL_SQL = f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT conv_id, i, w, count(*) AS n FROM (SELECT conv_id, i, unnest({_WORDS.format("text")}) AS w FROM m) WHERE w <> '' GROUP BY ALL), t AS (SELECT conv_id, i, sum(n) AS n FROM w GROUP BY ALL),
+b AS (SELECT x.conv_id, x.i AS x, y.i AS y, sum(least(x.n, y.n)) AS n FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.w = y.w AND x.i < y.i GROUP BY ALL),
+p AS (SELECT x.conv_id, x.i AS x, y.i AS y, coalesce(b.n, 0) / nullif(coalesce(tx.n, 0) + coalesce(ty.n, 0) - coalesce(b.n, 0), 0) AS same
+  FROM m x JOIN m y ON x.conv_id = y.conv_id AND x.i < y.i LEFT JOIN b ON b.conv_id = x.conv_id AND b.x = x.i AND b.y = y.i
+  LEFT JOIN t tx ON tx.conv_id = x.conv_id AND tx.i = x.i LEFT JOIN t ty ON ty.conv_id = y.conv_id AND ty.i = y.i),
+r AS (SELECT conv_id, i, i AS base, true AS "full" FROM m WHERE i = 1
+  UNION ALL SELECT r.conv_id, r.i + 1, CASE WHEN coalesce(same, 1.0) < 0.8 THEN r.i + 1 ELSE base END, coalesce(same, 1.0) < 0.8 FROM r JOIN p ON p.conv_id = r.conv_id AND p.x = base AND p.y = r.i + 1)
+SELECT conv_id, turn, "full" FROM r JOIN m USING (conv_id, i)
+"""
 
 
 def filtered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +285,18 @@ def filtered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.filtered_view(relevance.tiers(sections, referenced)).select("page_id", F.length("view").alias("chars"))
 
 
+VIEWS_SQL = f"""
+WITH s AS (SELECT source AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, '--- [item-' || lang || '-' || doc_id || '] content (0 interactive) ---' AS head,
+  length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n FROM documents), t AS (
+  SELECT *, pos % 20 = 7 AS kept, coalesce(max(CASE WHEN pos % 20 = 7 THEN 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) = 1 AS near FROM s
+), b AS (
+  SELECT page_id, CASE WHEN kept THEN length(head) + 1 + n WHEN near THEN length(head || chr(10) || '[omitted]') END AS chars, pos, near FROM t
+), d AS (SELECT page_id, pos - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS run FROM b WHERE NOT near), o AS (
+  SELECT page_id, length('[' || count(*) || ' sections omitted]') AS chars FROM d GROUP BY page_id, run UNION ALL SELECT page_id, chars FROM b WHERE near)
+SELECT page_id, CAST(sum(chars) + 2 * (count(*) - 1) AS INTEGER) AS chars FROM o GROUP BY page_id
+"""
+
+
 def turn_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last turn of each conversation."""
     return transcript.turn_range(_messages(spark, sf_dir))
@@ -268,5 +316,5 @@ SQL = {
     "transcript_role_stats": ROLE_SQL, "transcript_token_estimate": TOKENS_SQL, "transcript_top10": TOP_SQL, "transcript_coverage80": COVERAGE_SQL, "transcript_growth": GROWTH_SQL,
     "transcript_cumulative": CUMULATIVE_SQL, "transcript_size_histogram": HISTOGRAM_SQL, "transcript_stage_by_age": STAGE_SQL, "transcript_trim": TRIM_SQL, "transcript_hotspots": HOTSPOTS_SQL,
     "cost_by_price_row": COST_SQL, "price_of_model": MODEL_SQL, "turn_similarity": SIMILARITY_SQL, "token_idf": IDF_SQL, "neighbor_tiers": TIERS_SQL, "omitted_runs": RUNS_SQL,
-    "string_entropy": ENTROPY_SQL, "turn_ranges": RANGES_SQL,
+    "section_indirect_topk": INDIRECT_SQL, "string_entropy": ENTROPY_SQL, "full_analyses": FULL_SQL, "filtered_views": VIEWS_SQL, "turn_ranges": RANGES_SQL,
 }
