@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ BITRATES = {
     (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+#: Layer II: bits of the allocation of each subband, by table: a run of subbands for each number of bits.
+SUBBANDS = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 ALIGN = 64
@@ -37,7 +40,7 @@ _HEAD = 4 + 2 + _SIDE
 class Header:
     """A parsed frame header."""
 
-    __slots__ = ("version", "layer", "protected", "rate", "mono", "length", "samples", "side", "kind")
+    __slots__ = ("version", "layer", "protected", "rate", "mono", "length", "samples", "side", "kind", "kbit", "bound")
 
     def __init__(self, word: int) -> None:
         self.version = word >> 19 & 3  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
@@ -46,7 +49,8 @@ class Header:
         first = self.version == 3
         kbit = BITRATES[1 if first else 2, self.layer if first or self.layer == 1 else 2][word >> 12 & 15]
         self.rate = RATES[self.version][word >> 10 & 3]
-        pad, self.mono = word >> 9 & 1, word >> 6 & 3 == 3
+        pad, self.mono, self.kbit = word >> 9 & 1, word >> 6 & 3 == 3, kbit
+        self.bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32  # subbands from which on both channels share their allocation
         if self.layer == 1:
             self.samples, self.length = 384, (12000 * kbit // self.rate + pad) * 4
         else:
@@ -86,6 +90,34 @@ def crc16(data: bytes) -> int:
     return value
 
 
+def _crc_bits(data: bytes, bits: int) -> int:
+    """The checksum of a number of bits: whole bytes, then the first bits of the next."""
+    value = crc16(data[: bits // 8])
+    for i in range(bits % 8):
+        high = value >> 15 ^ data[bits // 8] >> 7 - i & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if high else 0)
+    return value
+
+
+def checked_bits(h: Header, body: bytes) -> int:
+    """How many bits after the checksum it covers: the side information of layer III, the bit allocation of layer I, and
+    that and the selection of scale factors of layer II, one for each channel of a subband that has bits."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    widths = [4] * 32
+    if h.layer == 2:
+        each = h.kbit / channels
+        widths = SUBBANDS["lsf" if h.version != 3 else ("d" if h.rate == 32000 else "c") if each <= 48 else "a" if each <= 80 or h.rate == 48000 else "b"]
+    whole, at, used = int.from_bytes(body[:64], "big") << 8 * max(0, 64 - len(body)), 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < h.bound else 1):
+            given = whole >> 512 - at - width & (1 << width) - 1
+            used += bool(given) * (1 if band < h.bound else channels)
+            at += width
+    return at + 2 * used if h.layer == 2 else at
+
+
 def _synchsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -166,8 +198,11 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
         return out
     pos = at + 36
     if data[pos : pos + 4] == b"VBRI" and len(data) >= pos + 26:
-        size, frames = struct.unpack(">II", data[pos + 10 : pos + 18])
-        return {"kind": "VBRI", "frames": frames, "bytes": size}
+        size, frames, entries, scale, width, each = struct.unpack(">IIHHHH", data[pos + 10 : pos + 26])
+        steps = data[pos + 26 : min(pos + 26 + entries * width, at + h.length)]
+        steps = [scale * int.from_bytes(steps[i : i + width], "big") for i in range(0, len(steps) - width + 1, width)] if width else []
+        # seek table: byte positions, from the first audio frame, of every each-th frame
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "frames_per_entry": each, "seek": [0, *accumulate(steps)]}
     return None
 
 
@@ -196,10 +231,12 @@ def read(data: bytes) -> dict:
         if h.protected:
             front += 2
             if h.layer == 3:
-                if crc16(data[at + 2 : at + 4] + data[at + 6 : at + front]) == data[at + 4] << 8 | data[at + 5]:
-                    good += 1
-                else:
-                    bad += 1
+                same = crc16(data[at + 2 : at + 4] + data[at + 6 : at + front]) == data[at + 4] << 8 | data[at + 5]
+            else:
+                covered = data[at + 2 : at + 4] + data[at + 6 : stop]
+                bits = 16 + checked_bits(h, covered[2:])
+                same = bits <= 8 * len(covered) and _crc_bits(covered, bits) == data[at + 4] << 8 | data[at + 5]
+            good, bad = good + same, bad + (not same)
         offsets.append(at)
         parts.append(data[at + front : stop])
         samples, rate, at, kind = samples + h.samples, h.rate, stop, h.kind

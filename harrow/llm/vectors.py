@@ -70,7 +70,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 2
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     n = vectors.count()
     shards, tiles = max(1, -(-n // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
-    whole = lambda: F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    # F.floor would give 64-bit integers, and the nearest one for components beyond them
+    floor = lambda y: F.when(F.rint(y) > y, F.rint(y) - 1).otherwise(F.rint(y))
+    whole = lambda: F.transform("embedding", lambda x: floor(x.cast("double") * scale))
     rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), whole().alias("v"), (F.monotonically_increasing_id() % shards).alias("shard"))
     rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))) if tiles > 1 else rows.withColumn("tile", F.lit(0))
     asked = queries.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), whole().alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))

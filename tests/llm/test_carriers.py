@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -98,3 +99,56 @@ def test_tree_finds_the_tightest_window(seed):
             assert (got[0] if got else None) == want
             if got:
                 held.remove(want)
+
+
+def plain_crc(bits):
+    value = 0xFFFF
+    for bit in bits:
+        high = (value >> 15) ^ bit
+        value = (value << 1) & 0xFFFF
+        value ^= 0x8005 if high else 0
+    return value
+
+
+def bits_of(data):
+    return [b >> 7 - i & 1 for b in data for i in range(8)]
+
+
+@pytest.mark.parametrize(
+    "layer,mode,kbit_index,rate_index,widths",
+    [(1, 0, 9, 0, [4] * 32), (1, 3, 9, 0, [4] * 32), (1, 0x15 & 1, 9, 1, [4] * 32), (2, 0, 10, 0, [4] * 11 + [3] * 12 + [2] * 7), (2, 0, 10, 1, [4] * 11 + [3] * 12 + [2] * 4), (2, 3, 2, 0, [4] * 2 + [3] * 6), (2, 3, 1, 2, [4] * 2 + [3] * 10), (2, 1, 9, 0, [4] * 11 + [3] * 12 + [2] * 4), (2, 1, 10, 0, [4] * 11 + [3] * 12 + [2] * 7)],
+)
+def test_checksums_of_layers_one_and_two(layer, mode, kbit_index, rate_index, widths):
+    """Frames of random bits, whose covered bits are counted here one by one from the standard's description."""
+    rng, stream, spoilt = random.Random(layer * 10 + mode), b"", 0
+    for n in range(6):
+        extension = rng.randrange(4)
+        word = 0x7FF << 21 | 3 << 19 | (4 - layer) << 17 | kbit_index << 12 | rate_index << 10 | mode << 6 | extension << 4
+        h = media.header(word)
+        body = bytes(rng.choice([0, 255, rng.randrange(255)]) for _ in range(h.length - 6))
+        bound, channels = (4 * (extension + 1) if mode == 1 else 32), 1 if mode == 3 else 2
+        own, at, scale = bits_of(body), 0, 0
+        for band, width in enumerate(widths):
+            for channel in range(channels):
+                if channel and band >= bound:
+                    continue
+                if any(own[at : at + width]):
+                    scale += channels if band >= bound else 1
+                at += width
+        covered = at + (2 * scale if layer == 2 else 0)
+        crc = plain_crc(bits_of(word.to_bytes(4, "big")[2:]) + own[:covered])
+        if n == 3:
+            crc, spoilt = crc ^ 1, 1
+        stream += word.to_bytes(4, "big") + crc.to_bytes(2, "big") + body
+    got = media.read(stream)
+    assert (got["crc_good"], got["crc_bad"], len(got["offsets"])) == (5, spoilt, 6)
+
+
+def test_vbri_table():
+    frame = media.header(media._word(9, False))
+    head = media._word(9, False).to_bytes(4, "big")
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 5000, 12, 3, 2, 2, 4) + struct.pack(">HHH", 100, 200, 300)
+    first = (head + bytes(32) + vbri).ljust(frame.length, b"\0")
+    got = media.read(first + (head + bytes(frame.length - 4)) * 12)
+    assert got["table"] == {"kind": "VBRI", "frames": 12, "bytes": 5000, "frames_per_entry": 4, "seek": [0, 200, 600, 1200]} and len(got["offsets"]) == 12
+    assert "table=VBRI:12:5000" in media.feature(got)

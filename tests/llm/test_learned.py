@@ -147,3 +147,8 @@ def test_exact_search(spark, monkeypatch):
     big = spark.createDataFrame([(0, [1e6, 1.0]), (1, [3e6, 2.0]), (2, [3e6, 2.5])], "vec_id long, embedding array<double>")
     assert [tuple(r)[1:3] for r in vectors.exact_top_k(big, big.where("vec_id = 0"), 5).collect()] == [(1, 2), (2, 1)]
     assert vectors.exact_top_k(df.limit(0), df.limit(0), 5).count() == 0
+    odd = spark.createDataFrame([(0, [1e18, 1.0, -0.5]), (1, [1e18, 2.0, 0.001]), (2, [-1e18, 1.0, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)overflow|too large|int"):  # scores beyond 64 bits
+        vectors.exact_top_k(odd, odd.where("vec_id = 0"), 5).collect()
+    far = spark.createDataFrame([(0, [1e17, 2e17]), (1, [2.0, -1.0]), (2, [0.0, 0.0]), (50, None)], "vec_id long, embedding array<double>")
+    assert [tuple(r)[1:] for r in vectors.exact_top_k(far, far.where("vec_id = 0"), 5).collect()] == [(1, 1, 0), (2, 2, 0)]
