@@ -224,7 +224,9 @@ def meta_line(section_id: Column, content: Column, interactive: Column, role: Co
 
 def full_analysis_needed(views: DataFrame) -> DataFrame:
     """views (conv_id, turn, text) with full: whether a page differs by more than a fifth from the last one that was
-    analysed in full. What counts as the last depends on all before, so a conversation is scanned in order."""
+    analysed in full. What counts as the last depends on all before, so a conversation is scanned in order, and its turns
+    are gathered: it must fit into a worker, which the context window of a model sees to. For longer ones there is the
+    streaming form, whose state is the words of one turn."""
     import pandas as pd
 
     from collections import Counter

@@ -9,7 +9,7 @@ from harrow.functions import text
 from harrow.operators import diagnosis, history, pages, relevance, scripts, transcript
 from harrow.plans import failures
 from harrow.plans.scripts import _FILLS, _VISITS, FILL_PARAMS_SQL
-from harrow.plans.transcripts import _SPACE, _messages, _sections
+from harrow.plans.transcripts import _PAGE, _SPACE, _messages, _sections
 from harrow.sources import tables
 from harrow.sources.tables import table
 
@@ -109,8 +109,8 @@ def direct_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.direct_references(_sections(spark, sf_dir))
 
 
-DIRECT_SQL = """
-SELECT source AS page_id, 'item-' || lang || '-' || doc_id AS section_id FROM documents WHERE contains('look at item-en-1 and the thing about ' || source, 'item-' || lang || '-' || doc_id)
+DIRECT_SQL = f"""
+SELECT {_PAGE} AS page_id, 'item-' || lang || '-' || doc_id AS section_id FROM documents WHERE contains('look at item-en-1 and the thing about ' || {_PAGE}, 'item-' || lang || '-' || doc_id)
 """
 
 

@@ -175,10 +175,11 @@ SELECT q.key, coalesce(sum(least(x, y)) / sum(greatest(x, y)), 1.0) AS similarit
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sections of a page for each source; the reasoning names words and ids of some."""
-    df = table(spark, sf_dir, "documents")
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = df.select(F.col("source").alias("page_id"), pos.alias("pos"), F.concat(F.lit("item-"), F.col("lang"), F.lit("-"), F.col("doc_id").cast("string")).alias("section_id"), F.col("text").alias("content"), F.lit("content").alias("role"), F.lit(0).alias("interactive_count"))
+    """Documents as sections of pages, a thousand ids of a source each; the reasoning names words and ids of some. A page is
+    what windows and views gather, so its size doesn't grow with the tables."""
+    df = table(spark, sf_dir, "documents").withColumn("page_id", F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string")))
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("doc_id")) - 1
+    rows = df.select("page_id", pos.alias("pos"), F.concat(F.lit("item-"), F.col("lang"), F.lit("-"), F.col("doc_id").cast("string")).alias("section_id"), F.col("text").alias("content"), F.lit("content").alias("role"), F.lit(0).alias("interactive_count"))
     return rows.withColumn("reasoning", F.concat(F.lit("look at item-en-1 and the thing about "), "page_id"))
 
 
@@ -187,10 +188,11 @@ def token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.token_idf(_sections(spark, sf_dir)).select("page_id", "token", F.round("idf", 9).alias("idf"))
 
 
+_PAGE = "source || '-' || doc_id // 1000"
 _CONTENT_TOKENS = f"list_distinct(list_filter(list_transform({_WORDS.format('left(text, 200)')}, lambda w: lower(w)), lambda w: length(w) >= 4 AND regexp_matches(w, '^\\p{{L}}+$')))"
 _FIRST_TOKENS = f"list_filter(list_transform({_WORDS.format('left(text, 200)')}, lambda w: lower(w)), lambda w, i: length(w) >= 4 AND regexp_matches(w, '^\\p{{L}}+$'))"
 IDF_SQL = f"""
-WITH t AS (SELECT source AS page_id, unnest(list_distinct(list_concat(['item'], {_CONTENT_TOKENS}))) AS token FROM documents), n AS (SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source)
+WITH t AS (SELECT {_PAGE} AS page_id, unnest(list_distinct(list_concat(['item'], {_CONTENT_TOKENS}))) AS token FROM documents), n AS (SELECT {_PAGE} AS page_id, count(*) AS n FROM documents GROUP BY ALL)
 SELECT page_id, token, round(ln(1 + any_value(n.n) / count(*)), 9) AS idf FROM t JOIN n USING (page_id) GROUP BY page_id, token
 """
 
@@ -202,8 +204,8 @@ def neighbor_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.tiers(sections, referenced).groupBy("page_id", "tier").agg(F.count("*").alias("n"))
 
 
-_TIERS = """
-WITH s AS (SELECT source AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents), t AS (
+_TIERS = f"""
+WITH s AS (SELECT {_PAGE} AS page_id, row_number() OVER (PARTITION BY {_PAGE} ORDER BY doc_id) - 1 AS pos FROM documents), t AS (
   SELECT page_id, pos, CASE WHEN pos % 20 = 7 THEN 'kept' WHEN coalesce(max(CASE WHEN pos % 20 = 7 THEN 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) = 1 THEN 'neighbor' ELSE 'distant' END AS tier FROM s)
 """
 TIERS_SQL = f"{_TIERS} SELECT page_id, tier, count(*) AS n FROM t GROUP BY ALL"
@@ -230,10 +232,10 @@ def section_indirect_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INDIRECT_SQL = f"""
 WITH s AS (
-  SELECT source AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, 'item-' || lang || '-' || doc_id AS section_id, {_CONTENT_TOKENS} AS words,
-    'look at item-en-1 and the thing about ' || source AS said, count(*) OVER (PARTITION BY source) AS n FROM documents
+  SELECT {_PAGE} AS page_id, row_number() OVER (PARTITION BY {_PAGE} ORDER BY doc_id) - 1 AS pos, 'item-' || lang || '-' || doc_id AS section_id, {_CONTENT_TOKENS} AS words,
+    'look at item-en-1 and the thing about ' || {_PAGE} AS said, count(*) OVER (PARTITION BY {_PAGE}) AS n FROM documents
 ), t AS (SELECT page_id, unnest(list_distinct(list_concat(['item'], words))) AS token FROM s), f AS (
-  SELECT page_id, token, ln(1 + any_value(k.n) / count(*)) AS idf FROM t JOIN (SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source) k USING (page_id) GROUP BY page_id, token
+  SELECT page_id, token, ln(1 + any_value(k.n) / count(*)) AS idf FROM t JOIN (SELECT {_PAGE} AS page_id, count(*) AS n FROM documents GROUP BY ALL) k USING (page_id) GROUP BY page_id, token
 ), q AS (SELECT *, string_split_regex(lower(said), '\\W+') AS named FROM s WHERE NOT contains(said, section_id)), k AS (
   SELECT page_id, section_id, pos, n, named, 'id_tokens' AS source, 'item' AS token FROM q UNION ALL SELECT page_id, section_id, pos, n, named, 'content', unnest({_FIRST_TOKENS}[1:8]) FROM q JOIN documents ON section_id = 'item-' || lang || '-' || doc_id
 ), c AS (SELECT page_id, section_id, pos, n, source, sum(CASE WHEN list_contains(named, token) THEN idf ELSE 0 END) / sum(idf) AS score FROM k JOIN f USING (page_id, token) GROUP BY ALL), b AS (
@@ -286,7 +288,7 @@ def filtered_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS_SQL = f"""
-WITH s AS (SELECT source AS page_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, '--- [item-' || lang || '-' || doc_id || '] content (0 interactive) ---' AS head,
+WITH s AS (SELECT {_PAGE} AS page_id, row_number() OVER (PARTITION BY {_PAGE} ORDER BY doc_id) - 1 AS pos, '--- [item-' || lang || '-' || doc_id || '] content (0 interactive) ---' AS head,
   length(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS n FROM documents), t AS (
   SELECT *, pos % 20 = 7 AS kept, coalesce(max(CASE WHEN pos % 20 = 7 THEN 1 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) = 1 AS near FROM s
 ), b AS (

@@ -90,3 +90,23 @@ def test_tool_summary(spark):
     assert got == {"a": (2, 40, 30, 3, 1, 0.4), "b": (1, 60, 60, 0, 0, 0.6)}
     saved = spark.createDataFrame([(100, 25), (100, 50)], "total_page_chars long, filtered_page_chars long")
     assert transcript.filter_savings(saved).first().saved == 0.625
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    """A session heard of again after its time limit starts anew; the query itself has no end and is stopped."""
+    schema = "conv_id long, turn long, text string"
+    (tmp_path / "v").mkdir()
+    views = spark.readStream.schema(schema).json(f"{tmp_path}/v")
+    q = sessions.full_analyses(views, idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        for turn in (1, 2):
+            (tmp_path / f"{turn}.json").write_text(f'{{"conv_id": 1, "turn": {turn}, "text": "a b c d e"}}\n')
+            (tmp_path / f"{turn}.json").rename(tmp_path / "v" / f"{turn}.json")
+            for _ in range(40):
+                if spark.sql("select * from idle").count() >= turn:
+                    break
+                q.awaitTermination(0.5)
+            q.awaitTermination(4)
+        assert sorted(tuple(r) for r in spark.sql("select * from idle").collect()) == [(1, 1, True), (1, 2, True)]
+    finally:
+        q.stop()
