@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,13 @@ def carried_sections(referenced: DataFrame, before: DataFrame) -> DataFrame:
     return referenced.select("page_id", "section_id").union(before.select("page_id", "section_id")).distinct()
 
 
-def inside_marked(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+def inside_marked(nodes: DataFrame, marked: DataFrame | Column) -> DataFrame:
     """Nodes that have a marked ancestor: in document order, those that the furthest end of a marked node before them
-    covers. One window over the node table, no range join."""
-    own = nodes.join(marked.select("page_id", "node_id", F.lit(True).alias("__marked")).distinct(), ["page_id", "node_id"], "left")
+    covers. One window over the node table, no range join. What marks is a table of nodes (page_id, node_id), or a
+    condition on the nodes themselves, which needs no join and reads the nodes once."""
+    if isinstance(marked, Column):
+        own = nodes.withColumn("__marked", marked)
+    else:
+        own = nodes.join(marked.select("page_id", "node_id", F.lit(True).alias("__marked")).distinct(), ["page_id", "node_id"], "left")
     by = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     return own.withColumn("__reach", F.max(F.when(F.col("__marked"), F.col("subtree_end"))).over(by)).where(F.col("__reach") > F.col("node_id")).drop("__marked", "__reach")

@@ -27,6 +27,19 @@ def test_requests(spark):
     assert [r.tag for r in inside] == ["b"]
 
 
+def test_inside_marked_by_a_condition(spark):
+    df = spark.createDataFrame([(1, "<ul><li><b>x</b></li></ul><p>y</p>"), (2, None), (3, "<div><p><ul><li></li></ul></p></div>")], "page_id long, html string")
+    every = pages.node_table(df)
+    narrow = pages.node_table(df, ("node_id", "tag", "subtree_end"))
+    assert narrow.columns == ["page_id", "node_id", "tag", "subtree_end"]
+    assert sorted(narrow.collect()) == sorted(every.select(narrow.columns).collect())
+    rows = lambda found: sorted(tuple(r) for r in found.select("page_id", "node_id", "tag").collect())
+    by_condition = history.inside_marked(narrow, F.col("tag") == "ul")
+    assert rows(by_condition) == rows(history.inside_marked(every, every.where("tag = 'ul'"))) == [(1, 2, "li"), (1, 3, "b"), (3, 3, "li")]
+    plan = by_condition._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # each page is parsed once
+
+
 def test_searching(spark):
     body = "\n".join(f"line {i}" + (" Needle" if i in (5, 6) else "") for i in range(200))
     df = spark.createDataFrame([(body,)], "t string")
