@@ -6,11 +6,11 @@ windows (l, c, r): every subsequence from [l, c] to [c, r] has its minimum at c.
 minimum meet; their intervals are joined across hash functions, and passages on which enough functions agree are
 verified shingle by shingle. Of each repeated passage, the text with the smallest doc_id stays unmarked.
 
-Windows of a minimum that few texts have are all paired. Those of a crowded one are paired with the first and the
-previous, and with the first and the previous of those that also agree in the words before or after: linear in the size
-of a hot group. What that may miss of exact repeats, subsequences of the least length for which crowded minima leave too
-few functions to agree, meets by the hash of the whole subsequence: all texts with it share a passage with the first.
-Copies of whole texts meet as one text.
+Windows of a minimum that few texts have are all paired. Those of a crowded one meet with the shingles around them
+(similar_contexts): of equal surroundings the first stands for all; those that share a shingle that few of them have are
+all compared; what shares only crowded shingles is compared by these alone, each set of them once. Exact repeats,
+subsequences of the least length for which crowded minima leave too few functions to agree, meet by the hash of the whole
+subsequence: all texts with it share a passage with the first. Copies of whole texts meet as one text.
 """
 
 from __future__ import annotations
@@ -35,8 +35,11 @@ MARGIN = MIN_WORDS + 2 * GAP
 FAR = 65_535
 #: Shingles that a text may have, with a margin, as its hashes are one value of at most 2 GB.
 LONGEST = (1 << 28) - 1024
-#: Windows from which on a minimum is crowded, and not all of them are paired.
+#: Windows up to which those of a minimum are all paired as they are; those of a crowded one are told apart by their contexts.
 CROWD = 8
+#: Shingles on either side of a minimum that passages of the least length around it can have; and how many they must share.
+REACH, SHARED = LEAST - 1, -(-LEAST * 4 // 5)
+AROUND = 2 * REACH + 1
 TEXT = np.dtype([("doc_id", "<i8"), ("sig", "<i8"), ("n", "<i8")])
 WINDOW = np.dtype([("j", "<i4"), ("cb", "<i4"), ("lb", "<i4"), ("rb", "<i4"), ("ca", "<i4"), ("la", "<i4"), ("ra", "<i4")])
 
@@ -219,24 +222,126 @@ def window_keys(shingles: np.ndarray, j: int) -> np.ndarray:
     return mix(shingles ^ MIX[j + 2])
 
 
-def unsettled(flat: np.ndarray, ends: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """Starts of the subsequences of LEAST shingles, of texts that end at ends, with crowded minima under so many functions
-    that fewer than AGREE are left."""
-    held, starts = np.zeros(len(flat) + 1, np.int64), np.append(0, ends[:-1])
+def hot_windows(flat: np.ndarray, ends: np.ndarray, crowded: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, c, l, r) of the windows of crowded minima in texts that end at ends, for each function."""
+    starts, found = np.append(0, ends[:-1]), []
     for j in range(HASHES):
         c, l, r = compact_windows(flat * MIX[j] + MIX[j + 1], starts, ends, LEAST)
-        hot = np.isin(window_keys(flat[c], j), crowded)
-        held += np.bincount(np.maximum(l, c - LEAST + 1)[hot], minlength=len(held))
-        held -= np.bincount(np.minimum(c, r - LEAST + 1)[hot] + 1, minlength=len(held))
+        key = window_keys(flat[c], j)
+        hot = np.isin(key, crowded)
+        found.append((key[hot], c[hot], l[hot], r[hot]))
+    return found
+
+
+def unsettled(n: int, windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Starts of the subsequences of LEAST of n shingles with crowded minima, whose windows are given, under so many functions
+    that fewer than AGREE are left."""
+    held = np.zeros(n + 1, np.int64)
+    for _, c, l, r in windows:
+        held += np.bincount(np.maximum(l, c - LEAST + 1), minlength=n + 1)
+        held -= np.bincount(np.minimum(c, r - LEAST + 1) + 1, minlength=n + 1)
     return np.flatnonzero(np.cumsum(held[:-1]) > HASHES - AGREE)
 
 
+def contexts(words: np.ndarray, start: np.ndarray, end: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of the AROUND shingles around each c, as far as they lie from start to end, its window: the low 16 bits of
+    each, 0 beyond the window; and the hash of all."""
+    out, shown = np.zeros((len(c), AROUND + SHINGLE - 1), np.uint16), np.zeros(len(c), np.uint64)
+    for i in range(0, len(c), 4096):
+        part = slice(i, i + 4096)
+        for k in range(out.shape[1]):
+            at = c[part] + (k - REACH)
+            inside = (at >= start[part]) & (at < end[part])
+            word = np.where(inside, words[np.clip(at, 0, len(words) - 1)], 0)
+            out[part, k] = np.where(inside, np.maximum(word.astype(np.uint16), 1), 0)
+            shown[part] = (shown[part] ^ word) * MIX[k % 8]
+            shown[part] ^= shown[part] >> np.uint64(29)
+    return out, shown
+
+
+def context_shingles(near: np.ndarray) -> np.ndarray:
+    """The shingles of contexts as 32 bits, 0 where there is none."""
+    total, none = np.zeros((len(near), AROUND), np.uint32), np.zeros((len(near), AROUND), bool)
+    for k in range(SHINGLE):
+        word = near[:, k : k + AROUND]
+        total = (total ^ word) * np.uint32(0x9E3779B1)
+        total ^= total >> np.uint32(15)
+        none |= word == 0
+    return np.where(none, np.uint32(0), np.maximum(total, np.uint32(1)))
+
+
+def similar_contexts(near: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (y, x) of different texts, x < y, whose contexts may share a passage of the least length; rows are in order of
+    doc, of equal contexts there is one. For each such subsequence of y that an earlier context has, one x at least is told.
+
+    Contexts that share a shingle of at most CROWD rows are all compared. Others share crowded shingles only: which of these
+    a row has, and where, stands for the row. Of rows that agree in this the first is the partner of the others, and it is
+    compared with the first of all other such rows; of these, the first that covers each subsequence is told."""
+    n, none = len(near), np.zeros(0, np.int64)
+    codes = np.unique((near.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)[:, None])[near > 0])
+    value, row = (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    sizes = np.diff(np.append(first, len(value)))
+    few = np.repeat(sizes <= CROWD, sizes)
+    crowded, value, row = value[first[sizes > CROWD]], value[few], row[few]
+    pairs = [none]
+    for step in range(1, CROWD):
+        same = np.flatnonzero(value[step:] == value[:-step])
+        pairs.append(row[same + step] * n + row[same])
+    code = np.searchsorted(crowded, near)
+    held = crowded[np.minimum(code, len(crowded) - 1)] == near if len(crowded) else np.zeros(near.shape, bool)
+    pairs, common = np.unique(np.concatenate(pairs), return_counts=True)
+    y, x = np.divmod(pairs, n)
+    distinct = np.bincount((codes & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=n) == (near > 0).sum(1)
+    enough = ~distinct[y] | (common + held.sum(1)[y] >= SHARED)  # few shared ones and all crowded ones
+    apart = (doc[y] != doc[x]) & (sig[y] != sig[x]) & enough
+    y, x = y[apart], x[apart]
+    # multisets of shingles: the k-th of equal ones is told apart
+    used, of = np.unique(np.concatenate([y, x]), return_inverse=True)
+    ranked = np.sort(near[used], axis=1)
+    at = np.arange(AROUND)
+    begin = np.maximum.accumulate(np.where(np.diff(ranked, axis=1, prepend=np.uint32(0)) != 0, at, 0), axis=1)
+    ranked = np.where(ranked > 0, ranked + (at - begin).astype(np.uint32) * np.uint32(0x9E3779B1), 0)
+    shares, left, right = [np.zeros(0, bool)], of[: len(y)], of[len(y) :]
+    for i in range(0, len(y), 8192):
+        both = np.sort(np.concatenate([ranked[left[i : i + 8192]], ranked[right[i : i + 8192]]], 1), axis=1)
+        shares.append(((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1) >= SHARED)
+    keep = np.concatenate(shares)
+    ys, xs = [y[keep]], [x[keep]]
+
+    def covered(has: np.ndarray) -> np.ndarray:
+        """Subsequences of LEAST shingles in which at least SHARED are had."""
+        total = np.zeros((len(has), AROUND + 1), np.int16)
+        np.cumsum(has, axis=1, out=total[:, 1:])
+        return total[:, LEAST:] - total[:, :-LEAST] >= SHARED
+
+    hot = np.flatnonzero(covered(held).any(1))
+    if len(hot):
+        code = np.where(held[hot], code[hot], len(crowded))
+        _, at, of = np.unique(np.ascontiguousarray(code).view(np.dtype((np.void, code.itemsize * AROUND))).ravel(), return_index=True, return_inverse=True)
+        head = at[of.ravel()]
+        later = np.flatnonzero((doc[hot] != doc[hot[head]]) & (sig[hot] != sig[hot[head]]))
+        ys.append(hot[later])
+        xs.append(hot[head[later]])
+        heads = np.sort(at)
+        has = np.zeros((len(heads), len(crowded) + 1), bool)
+        np.put_along_axis(has, code[heads], True, axis=1)
+        has[:, -1] = False
+        for q in np.flatnonzero(doc[hot] == doc[hot[head]]).tolist():  # first ones, and others of the same text
+            before = np.flatnonzero((doc[hot[heads]] < doc[hot[q]]) & (sig[hot[heads]] != sig[hot[q]]))
+            cover = covered(has[before[:, None], code[q]]) if len(before) else np.zeros((0, 1), bool)
+            told = np.unique(cover.argmax(0)[cover.any(0)]) if len(cover) else none
+            ys.append(np.full(len(told), hot[q]))
+            xs.append(hot[heads[before[told]]])
+    return np.concatenate(ys), np.concatenate(xs)
+
+
 def _meet(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (b, a, js, windows) of windows that texts b > a share, js telling the hash functions as bits; rows (b, js,
-    crowded) of crowded keys of b's windows; and rows (texts) of id, signature and number of words of all texts."""
+    """Rows (b, a, js, windows) of windows that texts b > a share, js telling the hash functions as bits; rows (b, crowded) of
+    crowded keys of b's windows, which are not paired here; and rows (texts) of id, signature and number of words of all texts."""
     least = LEAST
-    fields = ("key", "doc", "sig", "c", "dl", "dr", "before", "after", "j")
-    dtypes = ("<u8", "<i8", "<u4", "<i4", "<u2", "<u2", "<u2", "<u2", "u1")
+    fields = ("key", "doc", "sig", "c", "dl", "dr", "j")
+    dtypes = ("<u8", "<i8", "<u4", "<i4", "<u2", "<u2", "u1")
 
     def pair(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, bytes]]:
         """Windows x and y as pairs of texts: of two, the larger id is b. Pairs of one text or of equal texts are left out."""
@@ -268,13 +373,13 @@ def _meet(docs: DataFrame, parts: int) -> DataFrame:
         fresh[1:] = (t["key"][order][1:] != t["key"][order][:-1]) | (t["sig"][order][1:] != t["sig"][order][:-1]) | (t["c"][order][1:] != t["c"][order][:-1])
         return {f: v[order[fresh]] for f, v in t.items()}
 
-    def tell(doc: np.ndarray, key: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def tell(doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
         order = np.argsort(doc, kind="stable")
-        doc, key, bits = doc[order], key[order], 1 << j[order].astype(np.int64)
+        doc, key = doc[order], key[order]
         ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1 if len(doc) else []
         start = 0
         for end in ends:
-            yield int(doc[start]), int(np.bitwise_or.reduce(bits[start:end])), np.unique(key[start:end]).tobytes()
+            yield int(doc[start]), np.unique(key[start:end]).tobytes()
             start = end
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,24 +403,15 @@ def _meet(docs: DataFrame, parts: int) -> DataFrame:
                 c, l, r = compact_windows(flat * MIX[j] + MIX[j + 1], starts, ends, least)
                 owner = np.searchsorted(ends, c, "right")
                 start = starts[owner]
-                ctx = lambda p: np.where((p >= start) & (p < ends[owner]), flat[np.clip(p, 0, len(flat) - 1)] >> np.uint64(48), 0) if len(p) else p
-                values = (window_keys(flat[c], j), ids[texts[owner]], sigs[texts[owner]].astype(np.uint64), c - start, np.minimum(c - l, FAR), np.minimum(r - c, FAR), ctx(c - SHINGLE), ctx(c + SHINGLE), np.full(len(c), j))
+                values = (window_keys(flat[c], j), ids[texts[owner]], sigs[texts[owner]].astype(np.uint64), c - start, np.minimum(c - l, FAR), np.minimum(r - c, FAR), np.full(len(c), j))
                 for f, d, v in zip(fields, dtypes, values):
                     t[f].append(v.astype(d))
             t = {f: np.concatenate(v) for f, v in t.items()}
-            order = np.lexsort((t["c"], t["doc"], t["after"], t["before"], t["key"]))
-            t = {f: v[order] for f, v in t.items()}
-            n = len(order)
-            first = np.ones(n, bool)
-            first[1:] = (t["key"][1:] != t["key"][:-1]) | (t["before"][1:] != t["before"][:-1]) | (t["after"][1:] != t["after"][:-1])
-            head = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
             _, inverse, counts = np.unique(t["key"], return_inverse=True, return_counts=True)
-            many = (counts > CROWD)[inverse] if n else np.zeros(0, bool)  # crowded already: told to its texts here
-            for told in pair(t, np.flatnonzero(many & ~first), head[many & ~first]):
-                rows.append((told[0] % parts, *told, None, None, *blank))
-            sent = ~many | first | (t["doc"] == t["doc"][head])  # of a crowded key, the text that stands for the others shows all its windows
-            for doc, js, keys in tell(*(t[f][many & ~sent] for f in ("doc", "key", "j"))):
-                rows.append((doc % parts, doc, None, js, None, keys, None, *blank))
+            many = (counts > CROWD)[inverse] if len(inverse) else np.zeros(0, bool)  # crowded already: told to its texts here
+            for doc, keys in tell(t["doc"][many], t["key"][many]):
+                rows.append((doc % parts, doc, None, None, None, keys, None, *blank))
+            sent = ~many
             for part, values in deal(t["key"][sent], parts, *(t[f][sent] for f in fields)):
                 rows.append((part, None, None, None, None, None, None, *values))
             flags = np.unique(t["key"][many])
@@ -334,23 +430,10 @@ def _meet(docs: DataFrame, parts: int) -> DataFrame:
             near = np.flatnonzero(t["key"][few[step:]] == t["key"][few[:-step]])
             x.append(few[near + step])
             y.append(few[near])
-        told = list(tell(t["doc"][many], t["key"][many], t["j"][many]))
-        del inverse
-        every, t = t, {f: v[many] for f, v in t.items()}
-        pairs = pair(every, np.concatenate(x), np.concatenate(y))
-        x, y = [], []
-        for columns in (("key",), ("key", "before"), ("key", "after")):
-            order = np.lexsort((t["c"], t["doc"], *(t[f] for f in reversed(columns))))
-            n = len(order)
-            first = np.ones(n, bool)
-            first[1:] = np.logical_or.reduce([t[f][order][1:] != t[f][order][:-1] for f in columns])
-            head = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
-            later = np.flatnonzero(~first)
-            x += [order[later], order[later]]
-            y += [order[head[later]], order[later - 1]]
-        pairs += pair(t, np.concatenate(x), np.concatenate(y))
+        told = tell(t["doc"][many], t["key"][many])
+        pairs = pair(t, np.concatenate(x), np.concatenate(y))
         names, types = ["b", "a", "js", "windows", "crowded", "texts"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        rows = [(*p, None, None) for p in pairs] + [(doc, None, js, None, keys, None) for doc, js, keys in told]
+        rows = [(*p, None, None) for p in pairs] + [(doc, None, None, None, keys, None) for doc, keys in told]
         own = pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, types)], names=names)
         done = table.filter(pa.compute.or_(pa.compute.is_valid(table.column("b")), pa.compute.is_valid(table.column("texts"))))
         return pa.concat_tables([own, done.select(names)])
@@ -360,11 +443,21 @@ def _meet(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _read(docs: DataFrame, wanted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Of the wanted texts (doc_id, crowded): (doc_id, words), the low 32 bits of each word's hash; and (b, a, starts) of
-    subsequences of LEAST shingles that b has, a < b is the first to have, and crowded keys leave unsettled, where starts are
-    pairs of positions in b and a. Equal texts don't meet here. The texts are shuffled and read once for both."""
-    fields, dtypes = ("gram", "doc", "start", "sig"), ("<u8", "<i8", "<i4", "<u4")
-    names, types = ["part", "b", "a", "starts", *fields, "words"], [pa.int64()] * 3 + [pa.binary()] * 6
+    """Of the wanted texts (doc_id, crowded): (doc_id, words), the low 32 bits of each word's hash; and (b, a, starts), where
+    starts are pairs of positions in b and a < b: of subsequences of LEAST shingles that b has, a is the first to have, and
+    crowded keys leave unsettled; and of crowded minima with similar contexts. Equal texts don't meet here. The texts are
+    shuffled and read once for all."""
+    exact, around, again = ("gram", "doc", "start", "sig"), ("key", "of", "c", "own", "hash", "near"), ("key2", "of2", "c2", "hash2")
+    fields = (*exact, *around, *again)
+    dtypes = dict(zip(fields, ("<u8", "<i8", "<i4", "<u4", "<u8", "<i8", "<i4", "<u4", "<u8", "<u2", "<u8", "<i8", "<i4", "<u8")))
+    names, types = ["part", "b", "a", "starts", *fields, "words"], [pa.int64()] * 3 + [pa.binary()] * (len(fields) + 2)
+    one, other, last = [None] * len(exact), [None] * len(around), [None] * len(again)
+
+    def grouped(b: np.ndarray, a: np.ndarray, at: np.ndarray) -> list[tuple[int, int, bytes]]:
+        by = np.lexsort((at[:, 0], a, b))
+        b, a, at = b[by], a[by], at[by].astype("<i4")
+        begin = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]))) if len(b) else []
+        return [(int(b[i]), int(a[i]), at[i:k].tobytes()) for i, k in zip(begin, [*begin[1:], len(b)])]
 
     def pairs(gram: np.ndarray, doc: np.ndarray, start: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
         """Wherever each gram's first text shows it, and the other texts' pairs with the first place there."""
@@ -374,46 +467,79 @@ def _read(docs: DataFrame, wanted: DataFrame, parts: int) -> tuple[DataFrame, Da
         first[1:] = gram[1:] != gram[:-1]
         head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else np.zeros(0, np.int64)
         later = np.flatnonzero((own != own[head]) & (sig != sig[head]))
-        b, a, at = own[later], own[head[later]], np.stack([start[order[later]], start[order[head[later]]]], 1).astype("<i4")
-        by = np.lexsort((at[:, 0], a, b))
-        b, a, at = b[by], a[by], at[by]
-        begin = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (a[1:] != a[:-1]))) if len(b) else []
-        return order[own == own[head]], [(int(b[i]), int(a[i]), at[i:k].tobytes()) for i, k in zip(begin, [*begin[1:], len(b)])]
+        at = np.stack([start[order[later]], start[order[head[later]]]], 1)
+        return order[own == own[head]], grouped(own[later], own[head[later]], at)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             words, offsets = words_of(batch.column(1))
             low, cuts = words.astype("<u4"), offsets.tolist()
-            rows = [(None, int(i), None, None, None, None, None, None, low[x:y].tobytes()) for i, x, y in zip(ids.tolist(), cuts, cuts[1:]) if y - x >= MIN_WORDS]
+            rows = [(None, int(i), None, None, *one, *other, *last, low[x:y].tobytes()) for i, x, y in zip(ids.tolist(), cuts, cuts[1:]) if y - x >= MIN_WORDS]
             flat, ends, sigs, _ = shingled(words, offsets)
+            starts, sigs = np.append(0, ends[:-1]), sigs.astype(np.uint64).astype("<u4")
             crowded = np.unique(np.frombuffer(b"".join(k for told in batch.column(2).to_pylist() for k in told), "<u8"))
-            found = unsettled(flat, ends, crowded)
+            windows = hot_windows(flat, ends, crowded)
+            found = unsettled(len(flat), windows)
             gram = grams(flat)[found] if len(found) else np.zeros(0, np.uint64)
             owner = np.searchsorted(ends, found, "right")
-            values = (gram, ids[owner], (found - np.append(0, ends[:-1])[owner]).astype("<i4"), sigs[owner].astype(np.uint64).astype("<u4"))
+            values = (gram, ids[owner], (found - starts[owner]).astype("<i4"), sigs[owner])
             sent, near = pairs(*values)
-            rows += [(b % parts, b, a, at, None, None, None, None, None) for b, a, at in near]
+            rows += [(b % parts, b, a, at, *one, *other, *last, None) for b, a, at in near]
             for part, columns in deal(gram[sent], parts, *(v[sent] for v in values)):
-                rows.append((part, None, None, None, *columns, None))
+                rows.append((part, None, None, None, *columns, *other, *last, None))
+            for key, c, l, r in windows:
+                owner = np.searchsorted(ends, c, "right")
+                shift = offsets[owner] - starts[owner]
+                near, shown = contexts(words, l + shift, r + shift + SHINGLE, c + shift)
+                doc, c = ids[owner], (c - starts[owner]).astype("<i4")
+                order = np.lexsort((c, doc, shown, key))  # copies of a context in later texts are exact repeats
+                first = np.ones(len(order), bool)
+                first[1:] = (key[order][1:] != key[order][:-1]) | (shown[order][1:] != shown[order][:-1])
+                head = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+                sent, more = order[first], order[~first & (doc[order] == doc[head])]
+                for part, columns in deal(key[sent], parts, *(v[sent] for v in (key, doc, c, sigs[owner], shown, near))):
+                    rows.append((part, None, None, None, *one, *columns, *last, None))
+                for part, columns in deal(key[more], parts, *(v[more] for v in (key, doc, c, shown))):
+                    rows.append((part, None, None, None, *one, *other, *columns, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
 
     def meet(t: pa.Table) -> pa.Table:
-        own = pairs(*(joined(t.column(f), d)[0] for f, d in zip(fields, dtypes)))[1]
+        v = {f: joined(t.column(f), d)[0] for f, d in dtypes.items()}
+        own = pairs(*(v[f] for f in exact))[1]
+        near, shown = v.pop("near").reshape(-1, AROUND + SHINGLE - 1), v["hash"]
+        order = np.lexsort((v["c"], v["of"], shown, v["key"]))
+        same = (v["key"][order][1:] == v["key"][order][:-1]) & (shown[order][1:] == shown[order][:-1])
+        order = order[np.append(True, ~same)] if len(order) else order  # of equal contexts that of the first text
+        order = order[np.lexsort((v["c"][order], v["of"][order], v["key"][order]))]
+        key, doc, c, sig, shown = v["key"][order], v["of"][order], v["c"][order], v["own"][order], shown[order]
+        again = {}
+        for k, i, at, h in zip(*(v[f].tolist() for f in ("key2", "of2", "c2", "hash2"))):
+            again.setdefault((k, i, h), []).append(at)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+        b, a, at = [], [], []
+        for i, k in zip(begin, [*begin[1:], len(key)]):
+            y, x = similar_contexts(context_shingles(near[order[i:k]]), doc[i:k], sig[i:k])
+            for y, x in zip((y + i).tolist(), (x + i).tolist()):
+                for place in (int(c[y]), *again.get((int(key[y]), int(doc[y]), int(shown[y])), ())):
+                    b.append(int(doc[y]))
+                    a.append(int(doc[x]))
+                    at.append((place, int(c[x])))
+        own += grouped(np.array(b, np.int64), np.array(a, np.int64), np.array(at, np.int64).reshape(-1, 2))
         found = pa.table([pa.array(c, k) for c, k in zip(zip(*own) if own else [()] * 3, types[1:4])], names=names[1:4])
         return pa.concat_tables([found, t.filter(pa.compute.is_valid(t.column("b"))).select(names[1:4])])
 
-    schema = "part long, b long, a long, starts binary, gram binary, doc binary, start binary, sig binary, words binary"
+    schema = "part long, b long, a long, starts binary, " + ", ".join(f"{f} binary" for f in (*fields, "words"))
     read = settle(docs.join(wanted, "doc_id").select("doc_id", "text", "crowded").mapInArrow(show, schema))
     texts = read.where("words is not null").groupBy(F.col("b").alias("doc_id")).agg(F.first("words").alias("words"))  # repeated rows are one
-    exact = read.where("part is not null").drop("words").groupBy("part").applyInArrow(meet, "b long, a long, starts binary")
-    return texts, exact.groupBy("b", "a").agg(F.collect_list("starts").alias("starts"))
+    met = read.where("part is not null").drop("words").groupBy("part").applyInArrow(meet, "b long, a long, starts binary")
+    return texts, met.groupBy("b", "a").agg(F.collect_list("starts").alias("starts"))
 
 
 def stretches(starts: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
     """Runs of neighbouring (start in b, start in a) on one diagonal, as clusters gives them; those that overlap in both
-    texts are one, with several diagonals: of each, verify finds the exact runs, which is what has to be found here."""
+    texts are one, with several diagonals: of each, verify finds the exact runs, and the similar passages around them."""
     rows = starts[np.lexsort((starts[:, 0], starts[:, 0] - starts[:, 1]))].astype(np.int64)
     d = rows[:, 0] - rows[:, 1]
     begin = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (np.diff(rows[:, 0]) > LEAST)))
@@ -476,11 +602,10 @@ def _found(docs: DataFrame, shown: DataFrame, parts: int) -> DataFrame:
 
     spans = "b long, a long, lb int, rb int, la int, ra int, diagonals array<int>"
     near = settle(shared.mapInArrow(joins(WINDOW, clusters), spans))
-    # the texts of these, and those of which crowded minima may leave fewer than AGREE functions
-    told = shown.where("crowded is not null").select(F.col("b").alias("doc_id"), "crowded", "js")
-    asked = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select("doc_id", F.lit(None).cast("binary").alias("crowded"), F.lit(0).alias("js"))
-    of_text = told.union(asked).groupBy("doc_id").agg(F.collect_list("crowded").alias("crowded"), F.bit_or("js").alias("js"), F.min("js").alias("least"))
-    texts, exact = _read(docs, of_text.where((F.col("least") == 0) | (F.bit_count("js") > HASHES - AGREE)).select("doc_id", "crowded"), parts)
+    # the texts of these, and those with crowded minima
+    told = shown.where("crowded is not null").select(F.col("b").alias("doc_id"), "crowded")
+    asked = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().select("doc_id", F.lit(None).cast("binary").alias("crowded"))
+    texts, exact = _read(docs, told.union(asked).groupBy("doc_id").agg(F.collect_list("crowded").alias("crowded")), parts)
     candidates = near.union(exact.mapInArrow(joins(np.dtype(("<i4", 2)), stretches), spans))
     cut = lambda side: F.expr(f"substring(words, 4 * l{side} + 1, 4 * (r{side} - l{side} + {SHINGLE}))")
     of_a = candidates.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "a", "lb", "rb", "la", "diagonals", cut("a").alias("of_a"))
@@ -526,8 +651,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     other ids.
 
     Repeats of whole passages are found by every hash function or, where very many texts share parts of them, by their
-    exact subsequences. Passages that are not exact repeats and lie around such parts may be missed; at a similarity of
-    exactly 0.8, about one passage in forty of the least length agrees on fewer than two of four functions and is missed.
+    exact subsequences; those that are not exact, by comparing what lies around such parts. At a similarity of exactly 0.8,
+    about one passage in forty of the least length agrees on fewer than two of four functions and is missed.
     """
     parts = parts_for(docs, PART_BYTES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

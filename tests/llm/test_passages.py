@@ -207,3 +207,55 @@ def test_texts_without_words_and_very_long_ones(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[70_000:] + ["end"])), (3, "x" * 300_000), (4, " " * 5000), (5, None), (6, " ".join(filler(rng, 30) + long[100_000:100_060]))]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == [(2, 0, 80_000), (6, 30, 90)]
+
+
+def crowd(seed, n=240, pairs=20):
+    """Texts around one line that all of them hold, and pairs of texts, neither first nor neighbours, that share a passage
+    with the line in it and one word of the line changed: (doc, start, end). No 50 words of such a passage are an exact repeat."""
+    rng = random.Random(seed)
+    line, rows, planted = filler(rng, 44), [], []
+    for i in range(n):
+        rows.append(filler(rng, 60) + line + filler(rng, 60))
+    for k in range(pairs):
+        b, a = 100 + 3 * k, 30 + 3 * k
+        shared = filler(rng, 5) + line + filler(rng, 5)
+        rows[a][55:109] = shared
+        rows[b][55:109] = shared[: 24 + k % 6] + ["changed"] + shared[25 + k % 6 :]
+        planted.append((b, 55, 109))
+    return [(i, " ".join(words)) for i, words in enumerate(rows)], planted
+
+
+def test_similar_passages_around_a_common_line_are_found(spark):
+    rows, planted = crowd(3)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for doc, start, end in planted:
+        cover = {w for r in got if r.doc_id == doc for w in range(r.start_word, r.end_word)}
+        assert set(range(start, end)) <= cover, doc
+
+
+def test_contexts_against_all_pairs():
+    rng = np.random.default_rng(5)
+    line = rng.integers(1, 1 << 31, passages.AROUND)
+    rows = rng.integers(1, 1 << 31, (400, passages.AROUND))
+    variants = [np.concatenate([line[:30], rng.integers(1, 1 << 31, 3), line[33:]]) for _ in range(5)]
+    for i in range(400):  # a short line in all, a long line and its variants in many, and near copies in a few
+        rows[i, 35:60] = line[35:60]
+        if i % 4 == 0:
+            rows[i, 20:75] = variants[i % 5][20:75]
+        if i % 40 == 39:
+            rows[i] = np.where(rng.random(passages.AROUND) < 0.05, rows[i], rows[(i - 39) // 2 + 7])
+    near = np.unique(rows, axis=0).astype(np.uint32)
+    near = near[rng.permutation(len(near))]
+    doc, sig = np.arange(len(near)) // 2, np.arange(len(near)) // 2
+    y, x = passages.similar_contexts(near, doc, sig)
+    assert (doc[x] < doc[y]).all() and len(y) < 8 * len(near)
+
+    def covered(row, others):
+        out = set()
+        for o in others:
+            had = np.isin(near[row], near[o])
+            out |= {s for s in range(passages.AROUND - passages.LEAST + 1) if had[s : s + passages.LEAST].sum() >= passages.SHARED}
+        return out
+
+    for row in range(len(near)):
+        assert covered(row, x[y == row]) == covered(row, np.flatnonzero(doc < doc[row])), row
