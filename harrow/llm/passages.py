@@ -40,6 +40,8 @@ CROWD = 8
 #: Shingles on either side of a minimum that passages of the least length around it can have; and how many they must share.
 REACH, SHARED = LEAST - 1, -(-LEAST * 4 // 5)
 AROUND = 2 * REACH + 1
+#: First rows of a crowded minimum that are compared with all others.
+EARLY = 64
 TEXT = np.dtype([("doc_id", "<i8"), ("sig", "<i8"), ("n", "<i8")])
 WINDOW = np.dtype([("j", "<i4"), ("cb", "<i4"), ("lb", "<i4"), ("rb", "<i4"), ("ca", "<i4"), ("la", "<i4"), ("ra", "<i4")])
 
@@ -270,13 +272,79 @@ def context_shingles(near: np.ndarray) -> np.ndarray:
     return np.where(none, np.uint32(0), np.maximum(total, np.uint32(1)))
 
 
+def covered(has: np.ndarray) -> np.ndarray:
+    """Subsequences of LEAST shingles, of AROUND along the last axis, in which at least SHARED are had."""
+    total = np.zeros((*has.shape[:-1], AROUND + 1), np.int16)
+    np.cumsum(has, axis=-1, out=total[..., 1:])
+    return total[..., LEAST:] - total[..., :-LEAST] >= SHARED
+
+
+def first_covering(code: np.ndarray, doc: np.ndarray, sig: np.ndarray, ask: np.ndarray, heads: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """(q, x): for each subsequence of each row q of ask, the first row x of heads that covers it, if one does that is of an
+    earlier and other text. Rows are of codes, none where there is none, in order of doc; ask and heads are in order too.
+
+    The first EARLY heads are compared with all. A later one that covers a subsequence misses at most LEAST - SHARED places
+    of it, so it has one of the codes at any LEAST - SHARED + 1 places: those of the rarest codes tell which heads to compare."""
+    early, spare = heads[:EARLY], LEAST - SHARED
+    limit = np.searchsorted(doc[heads], doc[ask])  # heads of earlier texts
+    has = np.zeros((len(early), none + 1), bool)
+    np.put_along_axis(has, code[early], True, axis=1)
+    has[:, none] = False
+    left = covered(code[ask] < none)
+    qs, xs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(ask), 128):
+        part = slice(i, i + 128)
+        had = covered(has[:, code[ask[part]]]) & ((np.arange(len(early))[:, None] < limit[part]) & (sig[early][:, None] != sig[ask[part]]))[..., None]
+        had &= left[part]
+        q, s = np.nonzero(had.any(0))
+        told = np.unique(q * len(early) + had[:, q, s].argmax(0))
+        qs.append(ask[i + told // len(early)])
+        xs.append(early[told % len(early)])
+        left[part][q, s] = False
+    todo = np.flatnonzero(left.any(1) & (limit > EARLY))
+    if len(todo):
+        owner = np.repeat(np.arange(len(heads)), AROUND)
+        held = np.unique(code[heads].ravel() * len(heads) + owner)
+        held = held[(held < none * len(heads)) & (held % len(heads) >= EARLY)]
+        start = np.searchsorted(held, np.arange(none + 2) * len(heads))  # where a code's heads lie
+        where = held % len(heads)
+        size = np.diff(start)
+        size[none] = -1
+        rare = np.argsort(size, kind="stable")  # codes by rarity, none before all
+        rank = np.argsort(rare, kind="stable")
+        local = np.zeros(none + 1, np.int64)
+    for k in todo.tolist():
+        own, open_ = code[ask[k]], np.flatnonzero(left[k])
+        ranks = rank[own][open_[:, None] + np.arange(LEAST)]
+        least = np.unique(ranks[ranks <= np.partition(ranks, spare, axis=1)[:, spare, None]])
+        near = np.unique(np.concatenate([where[start[c] : start[c + 1]] for c in rare[least].tolist()]))
+        near = near[near < limit[k]]
+        near = heads[near[sig[heads[near]] != sig[ask[k]]]]
+        used = np.unique(own[own < none])
+        local[used] = np.arange(1, len(used) + 1)
+        begin, step = 0, 4 * EARLY
+        while begin < len(near) and len(open_):
+            part = near[begin : begin + step]
+            has = np.zeros((len(part), len(used) + 1), bool)
+            has[np.arange(len(part))[:, None], local[code[part]]] = True
+            has[:, 0] = False
+            had = covered(has[:, local[own]])[:, open_]
+            met = had.any(0)
+            told = part[np.unique(had[:, met].argmax(0))]
+            qs.append(np.full(len(told), ask[k]))
+            xs.append(told)
+            open_, begin, step = open_[~met], begin + step, 2 * step
+        local[used] = 0
+    return np.concatenate(qs), np.concatenate(xs)
+
+
 def similar_contexts(near: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (y, x) of different texts, x < y, whose contexts may share a passage of the least length; rows are in order of
     doc, of equal contexts there is one. For each such subsequence of y that an earlier context has, one x at least is told.
 
     Contexts that share a shingle of at most CROWD rows are all compared. Others share crowded shingles only: which of these
     a row has, and where, stands for the row. Of rows that agree in this the first is the partner of the others, and it is
-    compared with the first of all other such rows; of these, the first that covers each subsequence is told."""
+    compared with the first of other such rows; of these, the first that covers each subsequence is told (first_covering)."""
     n, none = len(near), np.zeros(0, np.int64)
     codes = np.unique((near.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)[:, None])[near > 0])
     value, row = (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -309,12 +377,6 @@ def similar_contexts(near: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> tupl
     keep = np.concatenate(shares)
     ys, xs = [y[keep]], [x[keep]]
 
-    def covered(has: np.ndarray) -> np.ndarray:
-        """Subsequences of LEAST shingles in which at least SHARED are had."""
-        total = np.zeros((len(has), AROUND + 1), np.int16)
-        np.cumsum(has, axis=1, out=total[:, 1:])
-        return total[:, LEAST:] - total[:, :-LEAST] >= SHARED
-
     hot = np.flatnonzero(covered(held).any(1))
     if len(hot):
         code = np.where(held[hot], code[hot], len(crowded))
@@ -323,16 +385,10 @@ def similar_contexts(near: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> tupl
         later = np.flatnonzero((doc[hot] != doc[hot[head]]) & (sig[hot] != sig[hot[head]]))
         ys.append(hot[later])
         xs.append(hot[head[later]])
-        heads = np.sort(at)
-        has = np.zeros((len(heads), len(crowded) + 1), bool)
-        np.put_along_axis(has, code[heads], True, axis=1)
-        has[:, -1] = False
-        for q in np.flatnonzero(doc[hot] == doc[hot[head]]).tolist():  # first ones, and others of the same text
-            before = np.flatnonzero((doc[hot[heads]] < doc[hot[q]]) & (sig[hot[heads]] != sig[hot[q]]))
-            cover = covered(has[before[:, None], code[q]]) if len(before) else np.zeros((0, 1), bool)
-            told = np.unique(cover.argmax(0)[cover.any(0)]) if len(cover) else none
-            ys.append(np.full(len(told), hot[q]))
-            xs.append(hot[heads[before[told]]])
+        ask = np.flatnonzero(doc[hot] == doc[hot[head]])  # first ones, and others of the same text
+        q, x = first_covering(code, doc[hot], sig[hot], ask, np.sort(at), len(crowded))
+        ys.append(hot[q])
+        xs.append(hot[x])
     return np.concatenate(ys), np.concatenate(xs)
 
 

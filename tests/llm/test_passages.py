@@ -1,6 +1,7 @@
 """Compact windows and repeated passages against brute force and planted repeats."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -259,3 +260,35 @@ def test_contexts_against_all_pairs():
 
     for row in range(len(near)):
         assert covered(row, x[y == row]) == covered(row, np.flatnonzero(doc < doc[row])), row
+
+
+def test_many_contexts_of_runs():
+    """6,000 different contexts of one crowded minimum, of runs of words that many have: the time is bounded, and what is
+    covered is that of a comparison with all earlier rows."""
+    rng = np.random.default_rng(9)
+    n, none = 6000, passages.AROUND - passages.REACH
+    near = np.zeros((n, passages.AROUND), np.uint32)
+    for i in range(n):
+        lengths = rng.integers(4, 24, 12)
+        words = np.append(7, rng.integers(10, 900, 11))
+        near[i, passages.REACH :] = np.repeat(words, lengths)[:none]
+        if i % 9 == 8:  # as an earlier row but for its end
+            near[i, : 80 + i % 7] = near[i // 9 * 4, : 80 + i % 7]
+        if i % 5 == 0:  # with shingles on both sides
+            near[i, 25 : passages.REACH] = np.repeat(rng.integers(10, 60, 4), 5)
+    near = np.unique(near, axis=0)
+    near = near[rng.permutation(len(near))]
+    doc = sig = np.arange(len(near)) // 6
+    began = time.thread_time()
+    y, x = passages.similar_contexts(near, doc, sig)
+    took = time.thread_time() - began
+    assert (doc[x] < doc[y]).all() and len(y) > 600 and took < 6, took
+
+    def covered(row, others):
+        had = np.zeros((len(others), passages.AROUND + 1), np.int64)
+        had[:, 1:] = np.cumsum([np.isin(near[row], near[o][near[o] > 0]) for o in others], axis=1)
+        return set(np.flatnonzero((had[:, passages.LEAST :] - had[:, : -passages.LEAST] >= passages.SHARED).any(0)).tolist())
+
+    for row in rng.choice(np.unique(y), 12, replace=False).tolist() + rng.choice(len(near), 6, replace=False).tolist():
+        told = x[y == row]
+        assert (covered(row, told) if len(told) else set()) == covered(row, np.flatnonzero(doc < doc[row]))
